@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, ogg, suffix_dedup, token_counts
+from . import bpe_codec, decontaminate, ogg, suffix_dedup, superkmer_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_superkmer_dedup(spark, sf_dir):
+    return superkmer_dedup.remove_windows(read(spark, sf_dir, "documents"), length=20, with_text=False)
+
+
 def op6_ogg(spark, sf_dir):
     return ogg.store_documents(read(spark, sf_dir, "documents"), with_media=False)
 
@@ -41,5 +45,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_decontamination, op6_ogg, op9_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_decontamination, op5_superkmer_dedup, op6_ogg, op9_bpe, op10_token_counts)}
 ORACLES: dict[str, str] = {}
