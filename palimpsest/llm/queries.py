@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, ogg, suffix_dedup, superkmer_dedup, token_counts
+from . import bpe_codec, decontaminate, jaccard, ogg, suffix_dedup, superkmer_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=50, with_text=False)
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.classes(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontaminate.spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
@@ -45,5 +49,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_decontamination, op5_superkmer_dedup, op6_ogg, op9_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_decontamination, op5_superkmer_dedup, op6_ogg, op9_bpe, op10_token_counts)}
 ORACLES: dict[str, str] = {}
