@@ -150,6 +150,57 @@ def solve(sent: DataFrame, function: Callable[[list[tuple[int, bytes]]], list[tu
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, data binary")
 
 
+def common_keys(chunks: DataFrame, keys_of: Callable[[Chunk], np.ndarray], buckets: int) -> DataFrame:
+    """Answers (chunk, data) that say which of its keys a chunk shares with another chunk.
+
+    ``keys_of`` gives a chunk's distinct 64-bit keys in order. A key travels as 48 bits, the
+    answer as one bit; two keys that agree in those bits and the bucket count as one, so a
+    key may seem shared that isn't, never the other way round.
+    """
+
+    def ask(chunk):
+        keys = keys_of(chunk)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        return messages(bucket, lambda k: packed(bucket[k[:1]], (keys[k] >> np.uint64(32)).astype(np.uint32), ((keys[k] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)))
+
+    def answer(rows):
+        got = [(c, *unpacked(d)) for c, d in rows]
+        sizes = [len(g[2]) for g in got]
+        key = np.concatenate([(g[2].astype(np.uint64) << np.uint64(16)) | g[3] for g in got])
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        # Keys of one chunk are distinct but for the bits cut off, so equal neighbours are of two chunks.
+        more = np.zeros(len(key), bool)
+        more[order[1:][same]] = True
+        more[order[:-1][same]] = True
+        cut = np.cumsum([0, *sizes])
+        return [(g[0], packed(g[1], np.packbits(more[a:b]))) for g, a, b in zip(got, cut[:-1], cut[1:])]
+
+    return solve(emit(chunks, ask), answer)
+
+
+def common_among(keys: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
+    """Reads a chunk's answers: for each of its keys (as ``keys_of`` gave them) whether it is shared."""
+    out = np.zeros(len(keys), bool)
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for data in answers:
+        b, bits = unpacked(data)
+        lo, hi = np.searchsorted(bucket[order], [b[0], b[0] + 1])
+        out[order[lo:hi]] = np.unpackbits(bits, count=hi - lo).astype(bool)
+    return out
+
+
+def emit_with(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list[bytes]], tuple[list[int], list[bytes]]]) -> DataFrame:
+    """As ``emit``, with answers to an earlier question."""
+
+    def run(key, docs, replies):
+        buckets, blobs = function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist())
+        return pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"])
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "bucket long, chunk long, data binary")
+
+
 def apply(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list[bytes]], pa.Table], schema: str) -> DataFrame:
     """Each chunk with its answers; ``function`` returns rows of ``schema``."""
 

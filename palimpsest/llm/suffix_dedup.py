@@ -3,8 +3,10 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document
 with a smaller id; the smallest id keeps it. Strings never cross documents.
 
-Each window of ``length`` bytes is sent, with its neighbours that share a minimiser,
-to the bucket of that minimiser (equal windows meet there). A bucket sorts the
+Each window of ``length`` bytes has a minimiser, equal windows the same one. Chunks of
+documents first ask which of their minimisers also occur elsewhere, by hash; windows
+whose minimiser occurs nowhere else repeat nowhere and go no further. The others are
+sent, with their neighbours that share the minimiser, to its bucket. A bucket sorts the
 suffixes of the distinct strings it got, computes common prefixes of neighbours
 (the enhanced suffix array), and scans them with a stack: each node of the interval
 tree is a set of suffixes with a common prefix. A node whose suffixes differ in the
@@ -31,7 +33,7 @@ from . import chunks as C
 from .superkmers import RangeHash, U, byte_values, gather, runs, shared, sliding_argmin, sort_rows
 
 #: Bytes of the k-mers from which minimisers are chosen.
-KMER = 16
+KMER = 20
 #: Windows read at a time.
 BLOCK = 1 << 20
 
@@ -57,7 +59,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
         part = data[at : at + BLOCK + length - 1]
         w = words_at(part)
         n = len(part) - KMER + 1
-        h = C.mix(w[:n] * U(0x9E3779B97F4A7C15) ^ C.mix(w[KMER - 8 : KMER - 8 + n]))
+        h = C.mix(C.mix(w[:n] * U(0x9E3779B97F4A7C15) ^ C.mix(w[8 : 8 + n])) ^ w[KMER - 8 : KMER - 8 + n])
         place = sliding_argmin(h, length - KMER + 1)
         good = np.ones(len(place), bool)
         lo, hi = np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + len(place) + length)
@@ -90,18 +92,37 @@ class Segments:
         self.high = np.full(len(f), np.iinfo(np.int64).min)
         np.minimum.at(self.low, self.of, self.ids)
         np.maximum.at(self.high, self.of, self.ids)
+        self.several = self.low < self.high
+
+
+def anchors(length: int):
+    """A chunk's distinct minimisers."""
+
+    def keys(chunk: C.Chunk) -> np.ndarray:
+        return np.unique(segments(chunk.data, chunk.offsets, length)[3])
+
+    return keys
+
+
+def may_repeat(s, answers: list[bytes], buckets: int) -> np.ndarray:
+    """Classes whose minimiser occurs in another chunk or with several ids (or places) in this one."""
+    key, of = np.unique(s.key, return_inverse=True)
+    near = C.common_among(key, answers, buckets)
+    return near[of] | (np.bincount(of)[of] > 1) | s.several
 
 
 def emitter(length: int, buckets: int):
-    def emit(chunk: C.Chunk):
+    def emit(chunk: C.Chunk, answers: list[bytes]):
         s = Segments(chunk, length)
         size = s.count + length - 1
+        some = np.flatnonzero(may_repeat(s, answers, buckets))
 
         def write(k):
+            k = some[k]
             body = chunk.data[gather(s.start[s.first[k]], size[k])]
             return C.packed(k.astype(np.uint32), s.count[k].astype(np.uint16), s.anchor[k].astype(np.uint16), s.low[k], (s.high[k] - s.low[k]).view(np.uint64), body)
 
-        return C.messages((s.key % U(buckets)).astype(np.int64), write)
+        return C.messages((s.key[some] % U(buckets)).astype(np.int64), write)
 
     return emit
 
@@ -299,13 +320,14 @@ def removed(chunk: C.Chunk, gone: np.ndarray, with_text: bool) -> pa.Table:
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and, ``with_text``, the removed ``spans`` (bytes) and ``kept`` (binary); else kept_sha256.
 
-    ``length`` is at least 2 * 16 bytes (the minimisers' k-mers). Kept bytes may end inside a
+    ``length`` is at least 2 * 20 bytes (the minimisers' k-mers). Kept bytes may end inside a
     character, as strings are judged by bytes.
     """
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    answers = C.solve(C.emit(parts, emitter(length, 4 * n)), solver(length))
+    common = C.common_keys(parts, anchors(length), 4 * n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, 4 * n)), solver(length))
     tail = "spans array<struct<start:long,end:long>>, kept binary" if with_text else "kept_sha256 string"
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("id", id_col)

@@ -5,7 +5,8 @@ of one document. A word goes if a window that covers it also starts earlier: in
 document with a smaller id, or earlier in the same document.
 
 Consecutive windows with one minimiser (the smallest hash among their short word
-grams) travel as one packed string, a super-k-mer, to the minimiser's bucket.
+grams) travel as one packed string, a super-k-mer, to the minimiser's bucket, unless
+an exchange of minimiser hashes has shown that it occurs nowhere else.
 Equal strings of a chunk travel once. A bucket numbers its words by an exact
 dictionary, sorts the windows of the distinct strings word by word, and so counts
 each window and finds its first occurrence. Strings whose neighbourhood of the
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 from .columns import SPACE_WORDS, split_words, words_array
+from .suffix_dedup import may_repeat
 from .superkmers import RangeHash, U, byte_values, gather, runs, shared, sliding_argmin, sort_rows
 
 #: Words of the grams from which minimisers are chosen.
@@ -87,6 +89,7 @@ class Segments:
         n = np.bincount(self.of, minlength=len(f))
         least, most = by[np.cumsum(n) - n], by[np.cumsum(n) - 1]
         self.low, self.low_pos, self.high, self.high_pos = self.ids[least], self.pos[least], self.ids[most], self.pos[most]
+        self.several = n > 1
 
 
 def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -97,16 +100,28 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def anchors(length: int):
+    """A chunk's distinct minimisers."""
+
+    def keys(chunk: C.Chunk) -> np.ndarray:
+        start, end, rows = split_words(chunk.data, chunk.offsets, SPACE_WORDS)
+        return np.unique(segments(word_hashes(chunk.data, start, end), rows, length)[3])
+
+    return keys
+
+
 def emitter(length: int, buckets: int):
-    def emit(chunk: C.Chunk):
+    def emit(chunk: C.Chunk, answers: list[bytes]):
         s = Segments(chunk, length)
+        some = np.flatnonzero(may_repeat(s, answers, buckets))
 
         def write(k):
+            k = some[k]
             words = gather(s.start[s.first[k]], s.count[k] + length - 1)
             body = joined(chunk.data, s.word_start[words], s.word_end[words])
             return C.packed(k.astype(np.uint32), s.count[k].astype(np.uint16), s.anchor[k].astype(np.uint16), s.low[k], s.low_pos[k].astype(np.uint32), (s.high[k] - s.low[k]).view(np.uint64), s.high_pos[k].astype(np.uint32), body)
 
-        return C.messages((s.key % U(buckets)).astype(np.int64), write)
+        return C.messages((s.key[some] % U(buckets)).astype(np.int64), write)
 
     return emit
 
@@ -146,12 +161,12 @@ def solver(length: int):
         for has, lo, hi in ((c_anchor >= half, a - half, a + GRAM), (c_anchor + context <= c_size, a, a + context)):
             k = np.flatnonzero(has)
             mate[k] |= shared(h.of(lo[k], hi[k]))
-        # A window can also occur twice inside one string.
+        # No window occurs twice inside one string: equal windows have their minimiser at the same offset.
         base = np.cumsum(c_count) - c_count
         string = np.repeat(np.arange(len(first)), c_count)
         offset = np.arange(len(string)) - base[string]
         m_id, m_pos = c_low[string], c_low_pos[string] + offset
-        k = np.flatnonzero(mate[string] | (c_count > 1)[string] & inner_repeats(words, c_start, c_size)[string])
+        k = np.flatnonzero(mate[string])
         if len(k):
             place = c_start[string[k]] + offset[k]
             padded = np.append(words, -1)
@@ -189,16 +204,6 @@ def solver(length: int):
     return solve
 
 
-def inner_repeats(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Strings in which some word occurs twice: only there can a window occur twice."""
-    string = np.repeat(np.arange(len(start)), size)
-    key = (string << 32) | words[gather(start, size)]
-    key.sort()
-    out = np.zeros(len(start), bool)
-    out[key[1:][key[1:] == key[:-1]] >> 32] = True
-    return out
-
-
 def applier(length: int, with_text: bool):
     def act(chunk: C.Chunk, replies: list[bytes]) -> pa.Table:
         if replies:
@@ -244,6 +249,7 @@ def remove_windows(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    answers = C.solve(C.emit(parts, emitter(length, 4 * n)), solver(length))
+    common = C.common_keys(parts, anchors(length), 4 * n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, 4 * n)), solver(length))
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_words long, n_removed long, {'kept binary' if with_text else 'kept_sha256 string'}")
     return out.withColumnRenamed("id", id_col)
