@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, jaccard, ogg, suffix_dedup, superkmer_dedup, token_counts
+from . import bpe_codec, decontaminate, jaccard, ogg, quality, suffix_dedup, superkmer_dedup, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.classes(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontaminate.spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
@@ -41,6 +46,11 @@ def op6_ogg(spark, sf_dir):
     return ogg.store_documents(read(spark, sf_dir, "documents"), with_media=False)
 
 
+def op7_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op9_bpe(spark, sf_dir):
     return bpe_codec.encode_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_text=False)
 
@@ -49,5 +59,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_decontamination, op5_superkmer_dedup, op6_ogg, op9_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_toxicity, op4_decontamination, op5_superkmer_dedup, op6_ogg, op7_quality, op9_bpe, op10_token_counts)}
 ORACLES: dict[str, str] = {}
