@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, jaccard, ogg, quality, suffix_dedup, superkmer_dedup, token_counts, toxicity
+from . import bpe_codec, decontaminate, html_extract, jaccard, ogg, quality, suffix_dedup, superkmer_dedup, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe_codec.encode_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_text=False)
 
@@ -59,5 +63,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_toxicity, op4_decontamination, op5_superkmer_dedup, op6_ogg, op7_quality, op9_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_toxicity, op4_decontamination, op5_superkmer_dedup, op6_ogg, op7_quality, op8_html_extraction, op9_bpe, op10_token_counts)}
 ORACLES: dict[str, str] = {}
