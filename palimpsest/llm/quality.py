@@ -59,10 +59,11 @@ class Machine:
         return self.w0 + linear + 0.5 * (s**2 - q).sum(1)
 
     def fit(self, ids, counts, cut, stats, y, epochs: int = 12, batch: int = 128, rate: float = 0.02, decay: float = 1e-4, seed: int = 11):
-        """Logistic loss, Adam on mini-batches in a fixed random order."""
+        """Logistic loss, Adam on mini-batches in a fixed random order; small samples get more rounds (400 steps at least)."""
         n = len(y)
         if not n:
             return self
+        epochs = max(epochs, -(-400 // -(-n // batch)))
         self.mean, self.spread = stats.mean(0), np.maximum(stats.std(0), 1e-3)
         p = np.clip(y.mean(), 0.01, 0.99)
         self.w0 = float(np.log(p / (1 - p)))
