@@ -60,8 +60,21 @@ def is_space(c: Column) -> Column:
     return c.rlike(f"^[{WS}]")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    Inside a lambda an expression would be computed again for each element; a lambda's own
+    variable is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def stitched(parts: Column, bare: bool) -> Column:
     """Words from parts: each solid part, with the white space on either side unless ``bare``."""
+    return once(parts, lambda p: _stitched(p, bare))
+
+
+def _stitched(parts: Column, bare: bool) -> Column:
     at = lambda k: F.try_element_at(parts, k.cast("int"))
     space = lambda c: F.when(is_space(c), c).otherwise(F.lit(""))
     # try_element_at counts from 1, and from the end for a negative place; the first part has none before it.
@@ -228,8 +241,8 @@ def text_marks(changes) -> Column:
         return F.struct(x["index"].alias("index"), F.when(x["added"], F.lit("added")).otherwise(F.lit("removed")).alias("kind"), top.cast("int").alias("top"), (hundredths(end, total) - top).cast("int").alias("height"))
 
     # The total goes in as data: a kernel's column may not be named inside a lambda.
-    whole = F.array(F.struct(total.alias("total"), F.filter(indexed(changes), lambda x: x["index"].isNotNull()).alias("marks")))
-    return F.transform(whole, lambda w: F.transform(w["marks"], lambda x: one(x, w["total"])))[0]
+    whole = F.struct(total.alias("total"), F.filter(indexed(changes), lambda x: x["index"].isNotNull()).alias("marks"))
+    return once(whole, lambda w: F.transform(w["marks"], lambda x: one(x, w["total"])))
 
 
 def render_stats(stats, similarity=None) -> Column:

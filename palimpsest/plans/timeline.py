@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import frames as K
+from ..sources.pairs import spread
 
 
 def steps(revisions: DataFrame, key: str, order: str, text: str, label: str | None = None, mode: str = "words", **options) -> DataFrame:
@@ -22,6 +23,7 @@ def steps(revisions: DataFrame, key: str, order: str, text: str, label: str | No
     named = revisions.select(key, F.col(order).alias("_o"), F.col(text).alias("_new"), number.alias("_n"), (name if label is None else F.coalesce(F.col(label), name)).alias("_name"))
     w = W.partitionBy(key).orderBy("_n")
     pairs = named.select(key, (F.col("_n") - 1).alias("step"), F.lag("_name").over(w).alias("from_label"), F.col("_name").alias("to_label"), F.lag("_new").over(w).alias("_old"), "_new").filter("step > 0")
+    pairs = spread(pairs, key, "step")
     model = K.hunks("_old", "_new", **options).alias("hunks") if mode == "unified" else K.split_hunks("_old", "_new", **options).alias("hunks") if mode == "split" else K.changes(mode, "_old", "_new", **options).alias("changes")
     return pairs.select(key, "step", "from_label", "to_label", K.statistics(mode, "_old", "_new", **options).alias("stats"), K.similarity("_old", "_new", html=False).alias("similarity"), model)
 

@@ -7,10 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Deals pairs to tasks for a kernel.
+
+    A pair costs its texts' difference, not its bytes; by bytes a few large tasks would be made
+    of many small pairs. Three tasks a core even out what one pair can cost.
+    """
+    spark = pairs.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(n, *keys)
+
+
 def revision_pairs(revisions: DataFrame, group: list, order: list, text: str, keys: list[str]) -> DataFrame:
     """Each row with the text before it in its group, in a total order; first ones have no pair."""
     old = F.lag(text).over(W.partitionBy(*group).orderBy(*order))
-    return revisions.select(*keys, old.alias("old"), F.col(text).alias("new")).filter("old is not null")
+    return spread(revisions.select(*keys, old.alias("old"), F.col(text).alias("new")).filter("old is not null"), *keys)
 
 
 def conversation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
