@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, decontaminate, html_extract, jaccard, ogg, quality, suffix_dedup, superkmer_dedup, token_counts, toxicity
+from .oracles import ORACLES
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,5 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_toxicity, op4_decontamination, op5_superkmer_dedup, op6_ogg, op7_quality, op8_html_extraction, op9_bpe, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "read", "tokenizer"]
