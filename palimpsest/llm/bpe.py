@@ -29,11 +29,14 @@ class Vocabulary:
         self.final = [vocab[symbol[b] + END] for b in range(256)] if self.ends else self.inner
         self.rank: dict[tuple[int, int], int] = {}
         self.into: dict[tuple[int, int], int] = {}
+        #: What the merge of each rank makes.
+        self.made: list[int] = []
         for k, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             key = vocab[a], vocab[b]
             self.rank.setdefault(key, k)
             self.into.setdefault(key, vocab[a + b])
+            self.made.append(vocab[a + b])
         back = {s: b for b, s in symbol.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.bytes_of = {i: bytes(back[c] for c in t.removesuffix(END if self.ends else "\0")) for t, i in vocab.items() if all(c in back for c in t.removesuffix(END if self.ends else "\0"))}
@@ -41,20 +44,16 @@ class Vocabulary:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the best-ranked merge, leftmost first, until none applies."""
-        rank, none = self.rank, 1 << 60
-        while len(ids) > 1:
-            best = min((rank.get(p, none) for p in zip(ids, ids[1:])), default=none)
-            if best == none:
-                break
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and rank.get((ids[k], ids[k + 1])) == best:
-                    out.append(self.into[ids[k], ids[k + 1]])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k : k + 2] = [self.made[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
     def encode(self, word: bytes) -> list[int]:
