@@ -15,6 +15,7 @@ so a lost executor costs recomputation and nothing else. Nothing goes to the dri
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -26,11 +27,31 @@ from pyspark.sql import functions as F
 from .columns import body_buffers, narrow
 
 #: Text bytes aimed at in a chunk. A single longer text makes a longer chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Content buckets for each chunk.
+BUCKETS = 2
 #: Stands for a null id inside: later than every other id.
 NULL_ID = np.iinfo(np.int64).max
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to hand back
+    _trim = None
+
+
+def tidy(table: pa.Table) -> pa.Table:
+    """Hands freed memory back to the system before the worker waits for its next group.
+
+    A worker process lives on between stages; what its allocators keep would add up beside
+    the executor's heap.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return table
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-spread 64-bit hash of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -134,7 +155,7 @@ def emit(chunks: DataFrame, function: Callable[[Chunk], tuple[list[int], list[by
 
     def run(key, table):
         buckets, blobs = function(Chunk(table.column("data").to_pylist()))
-        return pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"])
+        return tidy(pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"]))
 
     return chunks.groupBy("chunk").applyInArrow(run, "bucket long, chunk long, data binary")
 
@@ -145,7 +166,7 @@ def solve(sent: DataFrame, function: Callable[[list[tuple[int, bytes]]], list[tu
     def run(table):
         rows = sorted(zip(table.column("chunk").to_pylist(), table.column("data").to_pylist()), key=lambda r: r[0])
         answers = function(rows)
-        return pa.table([pa.array([c for c, _ in answers], pa.int64()), pa.array([d for _, d in answers], pa.binary())], ["chunk", "data"])
+        return tidy(pa.table([pa.array([c for c, _ in answers], pa.int64()), pa.array([d for _, d in answers], pa.binary())], ["chunk", "data"]))
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, data binary")
 
@@ -196,7 +217,7 @@ def emit_with(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk,
 
     def run(key, docs, replies):
         buckets, blobs = function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist())
-        return pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"])
+        return tidy(pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"]))
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "bucket long, chunk long, data binary")
 
@@ -205,6 +226,6 @@ def apply(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list
     """Each chunk with its answers; ``function`` returns rows of ``schema``."""
 
     def run(docs, replies):
-        return function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist())
+        return tidy(function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist()))
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -160,7 +160,7 @@ def wanted_sets(size: int):
         if not nodes:
             return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary())], ["node", "body"])
         sets = Sets(chunk, size)
-        return pa.table([pa.array(nodes, pa.binary()), pa.array([sets.parts[sets.own[d]].tobytes() for d in nodes], pa.binary())], ["node", "body"])
+        return C.tidy(pa.table([pa.array(nodes, pa.binary()), pa.array([sets.parts[sets.own[d]].tobytes() for d in nodes], pa.binary())], ["node", "body"]))
 
     return run
 
@@ -236,7 +236,7 @@ def tiled(num: int, den: int):
                 if a != b:
                     parent[b] = a
         k = np.flatnonzero(links)
-        return pa.table([pa.array([nodes[x] for x in k], pa.binary()), pa.array([nodes[root(x)] for x in k.tolist()], pa.binary()), pa.array(links[k])], ["node", "other", "links"])
+        return C.tidy(pa.table([pa.array([nodes[x] for x in k], pa.binary()), pa.array([nodes[root(x)] for x in k.tolist()], pa.binary()), pa.array(links[k])], ["node", "other", "links"]))
 
     return run
 
@@ -266,12 +266,12 @@ def tiles(sets: DataFrame, num: int, den: int) -> DataFrame:
 def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), n_links (rows linked with this one)."""
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    counted = C.solve(C.emit(parts, emitter(size, 4 * n)), count)
+    counted = C.solve(C.emit(parts, emitter(size, C.BUCKETS * n)), count)
     act = prefixes(size, num, den)
 
     def with_chunk(key, left, right):
         out = act(C.Chunk(left.column("data").to_pylist()), right.column("data").to_pylist())
-        return out.append_column("chunk", pa.array([key[0].as_py()] * out.num_rows, pa.int64()))
+        return C.tidy(out.append_column("chunk", pa.array([key[0].as_py()] * out.num_rows, pa.int64())))
 
     # The rows feed several plans below: written once to the shared folder, read from there.
     rows = parts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(with_chunk, "id long, node binary, n long, token long, chunk long").checkpoint()

@@ -326,8 +326,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    common = C.common_keys(parts, anchors(length), 4 * n)
-    answers = C.solve(C.emit_with(parts, common, emitter(length, 4 * n)), solver(length))
+    common = C.common_keys(parts, anchors(length), C.BUCKETS * n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, C.BUCKETS * n)), solver(length))
     tail = "spans array<struct<start:long,end:long>>, kept binary" if with_text else "kept_sha256 string"
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("id", id_col)

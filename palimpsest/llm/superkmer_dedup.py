@@ -249,7 +249,7 @@ def remove_windows(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    common = C.common_keys(parts, anchors(length), 4 * n)
-    answers = C.solve(C.emit_with(parts, common, emitter(length, 4 * n)), solver(length))
+    common = C.common_keys(parts, anchors(length), C.BUCKETS * n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, C.BUCKETS * n)), solver(length))
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_words long, n_removed long, {'kept binary' if with_text else 'kept_sha256 string'}")
     return out.withColumnRenamed("id", id_col)
