@@ -6,8 +6,9 @@ vector (how often they occur in each page of the group) form an equivalence clas
 class is valid if its tokens keep one order in every page and each of its occurrences
 lies in one gap of the class around it; valid classes nest into a template whose root
 is the class that occurs once in each page. What lies between template tokens are slots.
-A slot whose text is the same on the pages is part of the template; of the others, the
-container with the most running text holds the article, and its slots are returned.
+A slot's text that most pages share is part of the template, inside an article element
+too; of the other slots, on all pages, those of the container with the most running text
+are the article. The names article and main only decide between equal weights.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments are never text.
 
@@ -165,6 +166,9 @@ class Template:
             slots = {self.gap[j][k] for j, at in enumerate(places) for t in tokens for k in at.get(t, ())}
             if len(slots) == 1 and self.alternate(tokens, places):
                 self.inner.append((tokens, slots.pop()))
+        self.nested = {t for tokens, _ in self.inner for t in tokens}
+        self.fixed = self.fixed_texts()
+        self.chosen = self.container()
 
     @staticmethod
     def ordered(tokens: list[str], places) -> list[str]:
@@ -206,75 +210,72 @@ class Template:
             now = rank.get(t, now)
         return [*out, now]
 
-    def fixed_texts(self) -> set[tuple[int, str]]:
-        """(slot, text) that most pages share, from three pages on: template text."""
-        if len(self.pages) < 3:
-            return set()
-        seen = Counter(x for p, gap in zip(self.pages, self.gap) for x in {(gap[b[3]], b[0]) for b in p.blocks})
-        return {x for x, n in seen.items() if n * 2 > len(self.pages)}
-
-    def container(self) -> tuple[tuple[str, ...], bool] | None:
+    def slot(self, block, gap: list[int]) -> tuple[int, str]:
+        """The root slot of a block and, nested in it, the innermost valid inner class around it."""
+        path = block[1]
+        for n in range(len(path), 0, -1):
+            token = "/".join(path[:n]) if n > 1 else "/" + path[0]
+            if token in self.nested:
+                return gap[block[3]], token
+        return gap[block[3]], ""
+
+    def fixed_texts(self) -> set[tuple[tuple[int, str], str]]:
+        """(slot, text) that most pages share, three at least (two may be near copies of an article): template text."""
+        seen = Counter(x for p, gap in zip(self.pages, self.gap) for x in {(self.slot(b, gap), b[0]) for b in p.blocks})
+        return {x for x, n in seen.items() if n * 2 > len(self.pages) and n > 2}
+
+    def container(self) -> set[tuple[str, ...]]:
         """Path of the element whose slots hold the most running text that varies, over all pages.
 
-        Slots inside elements that say they are the article (article, main) go before all
-        others. The second value tells that the element is one of these.
+        Names do not choose: among equal weights an element inside article or main goes first.
         """
-        fixed, weight = self.fixed_texts(), Counter()
+        weight, named = Counter(), set()
         for p, gap in zip(self.pages, self.gap):
-            for text, path, linked, at, out, inside in p.blocks:
-                if inside and not out:
-                    while path and path[-1].split(".")[0].split("#")[0] not in ("article", "main"):
-                        path = path[:-1]
-                    weight[path or ("",), True] += len(text)
-                elif not out and (gap[at], text) not in fixed and linked * 2 <= len(text):
-                    while path and path[-1].split(".")[0].split("#")[0] in FLOW:
-                        path = path[:-1]
-                    weight[path, False] += len(text)
-        named = {k: n for k, n in weight.items() if k[1]}
-        if named:
-            return max(named, key=lambda k: (named[k], len(k[0]), k[0]))
+            for b in p.blocks:
+                if not b[4] and b[2] * 2 <= len(b[0]) and (self.slot(b, gap), b[0]) not in self.fixed:
+                    weight[home(b[1])] += len(b[0])
+                    if b[5]:
+                        named.add(home(b[1]))
         # Text of an element counts for the one around it, by half.
-        best = Counter()
-        for (path, _), n in weight.items():
-            best[path] += n
+        best = Counter(weight)
+        for path, n in weight.items():
             if len(path) > 1:
                 best[path[:-1]] += n // 2
-        return (max(best, key=lambda p: (best[p], len(p), p)), False) if best else None
+        return {max(best, key=lambda h: (best[h], h in named, len(h), h))} if best else set()
+
+    def article(self, page: Page, gap: list[int]) -> str:
+        """A page's varying slots inside the template's container, in page order."""
+        return " ".join(b[0] for b in page.blocks if not b[4] and within(home(b[1]), self.chosen) and (self.slot(b, gap), b[0]) not in self.fixed)
+
+
+def home(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The element that holds a block's running text, without the elements of its pieces."""
+    while path and path[-1].split(".")[0].split("#")[0] in FLOW:
+        path = path[:-1]
+    return path
+
+
+def within(path: tuple[str, ...], chosen: set[tuple[str, ...]]) -> bool:
+    return any(path[:n] in chosen for n in range(len(path) + 1))
 
 
 def extract(sources: list[str]) -> list[str]:
     """Main texts of pages of one host."""
-    pages = [Page(s) for s in sources]
-    distinct = list({s: p for s, p in zip(sources, pages)}.values())
+    of = {s: Page(s) for s in sources}  # copies count once
     shapes: dict[str, list[Page]] = defaultdict(list)
-    for p in distinct:  # a host's page types are apart by the elements directly inside their body
+    for p in of.values():  # a host's page types are apart by the elements directly inside their body
         shapes[shape(p)].append(p)
-    templates = {k: Template(v) for k, v in shapes.items()}
-    chosen = {k: (t.container(), t.fixed_texts(), {id(p): g for p, g in zip(t.pages, t.gap)}) for k, t in templates.items()}
-    of = {s: p for s, p in zip(sources, pages)}
-    return [article(of[s], *chosen[shape(of[s])]) for s in sources]
+    texts = {}
+    for pages in shapes.values():
+        t = Template(pages)
+        texts.update((id(p), t.article(p, gap)) for p, gap in zip(t.pages, t.gap))
+    return [texts[id(of[s])] for s in sources]
 
 
 def shape(page: Page) -> str:
     return " ".join(dict.fromkeys(t for t in page.tokens if t.count("/") <= 2 and "//" not in t))
 
 
-def article(page: Page, container, fixed, gaps) -> str:
-    """A page's slots inside the template's container, in page order.
-
-    A page may have its article elements elsewhere than the others; they stand in then.
-    """
-    if container is None:
-        return ""
-    path, named = container
-    n, gap = len(path), gaps[id(page)]
-    if named:
-        inside = [b for b in page.blocks if b[5] and not b[4]]
-        held = [b[0] for b in inside if b[1][:n] == path]
-        return " ".join(held or [b[0] for b in inside])
-    return " ".join(b[0] for b in page.blocks if not b[4] and b[1][:n] == path and (gap[b[3]], b[0]) not in fixed)
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (empty if none), n_chars (code points)."""
     spark = pages.sparkSession

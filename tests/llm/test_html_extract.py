@@ -36,6 +36,18 @@ def test_articles_without_names_by_template():
     assert extract(plain) == [t for _, t in pages]
 
 
+def test_template_text_inside_article_elements_goes():
+    pages = [site(k) for k in range(12)]
+    marked = [p.replace("<form>", "<p>Read this in our print edition</p><form>") for p, _ in pages]
+    assert extract(marked) == [t for _, t in pages]
+
+
+def test_names_do_not_choose_the_container():
+    pages = [site(k, 'div class="k"') for k in range(12)]
+    teased = [p.replace('<div class="k">', f'<article class="t"><p>{prose(k + 40, 3)}</p></article><div class="k">') for k, (p, _) in enumerate(pages)]
+    assert all(t in got for got, (_, t) in zip(extract(teased), pages))
+
+
 def test_copies_keep_their_text():
     page, text = site(3)
     assert extract([page] * 5) == [text] * 5
