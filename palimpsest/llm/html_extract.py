@@ -244,8 +244,23 @@ class Template:
         return {max(best, key=lambda h: (best[h], h in named, len(h), h))} if best else set()
 
     def article(self, page: Page, gap: list[int]) -> str:
-        """A page's varying slots inside the template's container, in page order."""
-        return " ".join(b[0] for b in page.blocks if not b[4] and within(home(b[1]), self.chosen) and (self.slot(b, gap), b[0]) not in self.fixed)
+        """A page's varying slots inside the template's containers, in page order.
+
+        A page that has none of the containers has its own, the one of its varying slots
+        or, if other pages share all its text, of its article elements or all slots.
+        """
+        blocks = [b for b in page.blocks if not b[4]]
+        varying = [b for b in blocks if (self.slot(b, gap), b[0]) not in self.fixed]
+        held = [b for b in varying if within(home(b[1]), self.chosen)]
+        for others in (varying, [b for b in blocks if b[5]], blocks):
+            if held:
+                break
+            weight = Counter()
+            for b in others:
+                weight[home(b[1])] += len(b[0]) if b[2] * 2 <= len(b[0]) else 0
+            best = max(weight, key=lambda h: (weight[h], len(h), h), default=None)
+            held = [b for b in others if weight[best] and within(home(b[1]), {best})]
+        return " ".join(b[0] for b in held)
 
 
 def home(path: tuple[str, ...]) -> tuple[str, ...]:

@@ -48,6 +48,12 @@ def test_names_do_not_choose_the_container():
     assert all(t in got for got, (_, t) in zip(extract(teased), pages))
 
 
+def test_pages_without_the_article_element_keep_their_text():
+    pages = [site(k) if k % 4 else site(k, 'div class="content"') for k in range(12)]
+    wrapped = [p.replace("<body>", '<body><div class="wrap">').replace("</body>", "</div></body>") for p, _ in pages]
+    assert extract(wrapped) == [t for _, t in pages]
+
+
 def test_copies_keep_their_text():
     page, text = site(3)
     assert extract([page] * 5) == [text] * 5
