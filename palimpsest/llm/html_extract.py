@@ -7,8 +7,10 @@ class is valid if its tokens keep one order in every page and each of its occurr
 lies in one gap of the class around it; valid classes nest into a template whose root
 is the class that occurs once in each page. What lies between template tokens are slots.
 A slot's text that most pages share is part of the template, inside an article element
-too; of the other slots, on all pages, those of the container with the most running text
-are the article. The names article and main only decide between equal weights.
+too; of the other slots, on all pages, those of every element with pieces of running text
+and of the heaviest elements are the article, in page order. Bare text of an element with
+less than half of the heaviest one's is beside the article. The names article and main
+keep text that would be taken for such, and choose nothing else.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments are never text.
 
@@ -168,7 +170,7 @@ class Template:
                 self.inner.append((tokens, slots.pop()))
         self.nested = {t for tokens, _ in self.inner for t in tokens}
         self.fixed = self.fixed_texts()
-        self.chosen = self.container()
+        self.chosen, self.alone = self.containers()
 
     @staticmethod
     def ordered(tokens: list[str], places) -> list[str]:
@@ -224,24 +226,29 @@ class Template:
         seen = Counter(x for p, gap in zip(self.pages, self.gap) for x in {(self.slot(b, gap), b[0]) for b in p.blocks})
         return {x for x, n in seen.items() if n * 2 > len(self.pages) and n > 2}
 
-    def container(self) -> set[tuple[str, ...]]:
-        """Path of the element whose slots hold the most running text that varies, over all pages.
+    def containers(self) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+        """Paths of all elements whose varying slots are article: with all they hold, and by themselves.
 
-        Names do not choose: among equal weights an element inside article or main goes first.
+        These are the elements with pieces of running text (paragraphs, headings, lists) and
+        those that hold, where they occur, at least half of the heaviest one's text. A lighter
+        element with bare text is a notice beside the article. An article or main element is
+        kept whatever it holds; names choose nothing else.
         """
-        weight, named = Counter(), set()
+        weight, pages, pieces = Counter(), Counter(), set()
         for p, gap in zip(self.pages, self.gap):
+            here = Counter()
             for b in p.blocks:
                 if not b[4] and b[2] * 2 <= len(b[0]) and (self.slot(b, gap), b[0]) not in self.fixed:
-                    weight[home(b[1])] += len(b[0])
-                    if b[5]:
-                        named.add(home(b[1]))
-        # Text of an element counts for the one around it, by half.
-        best = Counter(weight)
-        for path, n in weight.items():
-            if len(path) > 1:
-                best[path[:-1]] += n // 2
-        return {max(best, key=lambda h: (best[h], h in named, len(h), h))} if best else set()
+                    path = home(b[1])
+                    here[path] += len(b[0])
+                    if b[5] or len(path) < len(b[1]):
+                        pieces.add(path)
+            weight.update(here)
+            pages.update(here.keys())
+        top = max((n / pages[h] for h, n in weight.items()), default=0)
+        heavy = {h for h, n in weight.items() if 2 * n >= top * pages[h]}
+        alone = {h for h in pieces if not h or h[-1].split(".")[0].split("#")[0] in ("body", "html")}
+        return heavy | pieces - alone, alone
 
     def article(self, page: Page, gap: list[int]) -> str:
         """A page's varying slots inside the template's containers, in page order.
@@ -251,7 +258,7 @@ class Template:
         """
         blocks = [b for b in page.blocks if not b[4]]
         varying = [b for b in blocks if (self.slot(b, gap), b[0]) not in self.fixed]
-        held = [b for b in varying if within(home(b[1]), self.chosen)]
+        held = [b for b in varying if home(b[1]) in self.alone or within(home(b[1]), self.chosen)]
         for others in (varying, [b for b in blocks if b[5]], blocks):
             if held:
                 break

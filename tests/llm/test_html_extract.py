@@ -54,6 +54,18 @@ def test_pages_without_the_article_element_keep_their_text():
     assert extract(wrapped) == [t for _, t in pages]
 
 
+def test_an_article_in_two_elements_is_whole():
+    for mark in ("<p>{}</p>", "{}"):
+        pages, want = [], []
+        for k in range(12):
+            a, b = mark.format(prose(k + 40, 60)), mark.format(prose(k + 60, 40))
+            pages.append(f'<html><body><div class="menu">x</div><div class="one">{a}</div><div class="two">{b}</div></body></html>')
+            want.append(f"{prose(k + 40, 60)} {prose(k + 60, 40)}")
+        assert extract(pages) == want
+    pages = [f"<html><body><main><h1>{prose(k, 4)}</h1><article><p>{prose(k + 40, 60)}</p></article></main></body></html>" for k in range(12)]
+    assert extract(pages) == [f"{prose(k, 4)} {prose(k + 40, 60)}" for k in range(12)]
+
+
 def test_copies_keep_their_text():
     page, text = site(3)
     assert extract([page] * 5) == [text] * 5
