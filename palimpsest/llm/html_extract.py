@@ -1,8 +1,8 @@
 """Operator 8: main text of web pages by equivalence-class template deduction.
 
-Pages of one host are compared in groups. A page is read as tokens: tags with the path
+All pages of one host are compared. A page is read as tokens: tags with the path
 of elements they stand in, and text between them. Tokens with the same occurrence
-vector (how often they occur in each page of the group) form an equivalence class. A
+vector (how often they occur in each page of the host that has its shape) form an equivalence class. A
 class is valid if its tokens keep one order in every page and each of its occurrences
 lies in one gap of the class around it; valid classes nest into a template whose root
 is the class that occurs once in each page. What lies between template tokens are slots.
@@ -14,8 +14,10 @@ keep text that would be taken for such, and choose nothing else.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments are never text.
 
-Hosts that hold more than a set share of all pages are dealt to several partitions;
-a partition is read page by page and at most ``GROUP`` pages are held at once.
+All that a template needs are sums over pages. Hosts that hold more than a set share of all
+pages are counted where their pages are, partial sums are merged, and the one template of
+a host and shape is sent to all its pages; the pages of another host meet in one task. The
+result is the same either way and does not depend on the number of partitions.
 
 Null html is empty: an empty text. A null url is a host of its own. Exact copies of a
 page count once in the vectors. Repeated rows and further columns change nothing; empty
@@ -25,17 +27,20 @@ tables give empty results. Each text is whole: nothing inside the article is cut
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import zlib
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages compared at once.
+#: Pages of a host that one task compares in any case.
 GROUP = 48
-#: A host with more than this share of a partition's pages is dealt to several partitions.
-HOT_SHARE = 8
+#: A host with more pages than a partition's share divided by this is counted by all tasks.
+HOT_SHARE = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -139,125 +144,161 @@ class Page:
             self.parts, self.linked = [], 0
 
 
-class Template:
-    """Nested valid equivalence classes of a group's tokens."""
+class Outline:
+    """What counts are taken from: a page's tokens, and its blocks without their texts."""
+
+    def __init__(self, page: Page, source: str):
+        self.shape, self.tokens = shape(page), page.tokens
+        #: (text's hash, path, characters if not mostly links, place among the tokens, left out, inside an article)
+        self.blocks = [(text_hash(b[0]), b[1], len(b[0]) if b[2] * 2 <= len(b[0]) else 0, *b[3:]) for b in page.blocks]
+        self.number = int.from_bytes(blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
-    def __init__(self, pages: list[Page]):
-        self.pages = pages
-        places = [defaultdict(list) for _ in pages]
-        for p, at in zip(pages, places):
-            for k, t in enumerate(p.tokens):
+    def places(self, among=None) -> dict[str, list[int]]:
+        at = defaultdict(list)
+        for k, t in enumerate(self.tokens):
+            if among is None or t in among:
                 at[t].append(k)
-        vectors: dict[str, list[int]] = {}
-        for j, at in enumerate(places):
-            for t, ks in at.items():
-                vectors.setdefault(t, [0] * len(pages))[j] = len(ks)
-        classes: dict[tuple[int, ...], list[str]] = {}
-        for t, v in vectors.items():
-            classes.setdefault(tuple(v), []).append(t)
-        ones = tuple([1] * len(pages))
+        return at
+
+
+def text_hash(text: str) -> str:
+    return blake2b(text.encode("utf-8", "replace"), digest_size=9).hexdigest()
+
+
+# Counts of a page, (key, three or five numbers): sums over pages are all that a template needs.
+
+
+def token_counts(page: Outline, template=None):
+    """Occurrence vectors, as sums of a hash of (page, occurrences): equal sums, equal vectors."""
+    yield "n", (1, 0, 0, 0, 0)
+    for t, ks in page.places().items():
+        x = (page.number ^ (len(ks) * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 31) * 0x94D049BB133111EB % (1 << 64)
+        yield "t" + t, (1, len(ks), x >> 33, x >> 2 & 0x7FFFFFFF, ks[0])
+
+
+def order_counts(page: Outline, template: Template):
+    """Root tokens that the page has in another order; gaps and disorder of inner classes."""
+    at, best = page.places(template.known), -1
+    for t in template.root:
+        if at[t][0] > best:
+            best = at[t][0]
+        else:
+            yield "r" + t, (1, 0, 0, 0, 0)
+    gap = template.gaps(page.tokens)
+    for k, tokens in enumerate(template.classes):
+        held = [at.get(t, []) for t in tokens]
+        flat = [x for row in zip(*held) for x in row]
+        if any(len(h) != len(held[0]) for h in held) or flat != sorted(flat):
+            yield f"b{k}", (1, 0, 0, 0, 0)
+        for g in {gap[x] for h in held for x in h}:
+            yield f"g{k} {g}", (1, 0, 0, 0, 0)
+
+
+def slot_counts(page: Outline, template: Template):
+    """Texts by slot, and elements by their text."""
+    gap, texts, homes = template.gaps(page.tokens), {}, {}
+    for text, path, chars, at, out, inside in page.blocks:
+        key = template.text_key(path, gap[at], text)
+        chars = 0 if out else chars
+        texts[key] = texts.get(key, 0) + chars
+        if chars:
+            h = home(path)
+            n, piece = homes.get(h, (0, 0))
+            homes[h] = n + chars, piece or int(inside or len(h) < len(path))
+    for key, chars in texts.items():
+        yield "x" + key, (1, chars, 0, 0, 0)
+    for h, (chars, piece) in homes.items():
+        yield "h" + "\n".join(h), (1, chars, piece, 0, 0)
+
+
+class Template:
+    """Nested valid equivalence classes of the tokens of a host's pages of one shape."""
+
+    def __init__(self, pages: list[Page] | dict[str, tuple[int, ...]]):
+        if isinstance(pages, list):
+            outlines = [Outline(p, str(k)) for k, p in enumerate(pages)]
+            self.__dict__ = next(iter(deduce(summed(outlines)).values())).__dict__
+            return
+        counts, classes = pages, defaultdict(list)
+        self.n = counts["n"][0]
+        for key, v in counts.items():
+            if key[0] == "t" and v[0] * 2 >= self.n:  # on fewer pages: too few to say
+                classes[v[:4]].append((v[4], key[1:]))
+        once = [v for v in classes if v[0] == v[1] == self.n]
         #: Tokens of the root class, in the order they have in every page.
-        self.root = self.ordered(classes.pop(ones, []), places)
-        rank = {t: k for k, t in enumerate(self.root)}
-        self.gap = [self.gaps(p, rank) for p in pages]
+        self.root = [t for _, t in sorted(x for v in once for x in classes.pop(v))]
+        self.classes = [[t for _, t in sorted(classes[v])] for v in sorted(classes)]
+        self.index()
+
+    def index(self) -> None:
+        self.rank = {t: k for k, t in enumerate(self.root)}
+        self.known = {*self.rank, *(t for c in self.classes for t in c)}
+
+    def ordered(self, counts: dict[str, tuple[int, ...]]) -> bool:
+        """Takes out what breaks the order; whether the root class was in order already."""
+        bad, gaps = {k[1:] for k in counts if k[0] == "r"}, defaultdict(set)
+        if bad:
+            self.root = [t for t in self.root if t not in bad]
+            self.index()
+            return False
+        for k in counts:
+            if k[0] == "g":
+                number, gap = k[1:].split()
+                gaps[int(number)].add(int(gap))
         #: Valid inner classes: (tokens, the root slot that holds them).
-        self.inner = []
-        for v, tokens in classes.items():
-            if sum(x > 0 for x in v) * 2 < len(pages):
-                continue  # too few pages to say
-            slots = {self.gap[j][k] for j, at in enumerate(places) for t in tokens for k in at.get(t, ())}
-            if len(slots) == 1 and self.alternate(tokens, places):
-                self.inner.append((tokens, slots.pop()))
+        self.inner = [(c, gaps[k].pop()) for k, c in enumerate(self.classes) if len(gaps[k]) == 1 and f"b{k}" not in counts]
         self.nested = {t for tokens, _ in self.inner for t in tokens}
-        self.fixed = self.fixed_texts()
-        self.chosen, self.alone = self.containers()
-
-    @staticmethod
-    def ordered(tokens: list[str], places) -> list[str]:
-        """The tokens without those that some page has in another order."""
-        if not tokens:
-            return []
-        tokens = sorted(tokens, key=lambda t: places[0][t][0])
-        for at in places[1:]:
-            best, kept = -1, []
-            for t in tokens:
-                if at[t][0] > best:
-                    best = at[t][0]
-                    kept.append(t)
-            tokens = kept
-        return tokens
-
-    @staticmethod
-    def alternate(tokens: list[str], places) -> bool:
-        """Whether every page repeats the class's tokens in one order, occurrence by occurrence."""
-        if len(tokens) == 1:
-            return True
-        first = next(at for at in places if tokens[0] in at)
-        tokens = sorted(tokens, key=lambda t: first[t][0])
-        for at in places:
-            got = [at.get(t, []) for t in tokens]
-            if any(len(g) != len(got[0]) for g in got):
-                return False
-            flat = [k for row in zip(*got) for k in row]
-            if flat != sorted(flat):
-                return False
         return True
 
-    @staticmethod
-    def gaps(page: Page, rank: dict[str, int]) -> list[int]:
+    def gaps(self, tokens: list[str]) -> list[int]:
         """The last root token at or before each place; one place more for text at the end."""
         out, now = [], -1
-        for t in page.tokens:
+        for t in tokens:
             out.append(now)
-            now = rank.get(t, now)
+            now = self.rank.get(t, now)
         return [*out, now]
 
-    def slot(self, block, gap: list[int]) -> tuple[int, str]:
-        """The root slot of a block and, nested in it, the innermost valid inner class around it."""
-        path = block[1]
+    def text_key(self, path: tuple[str, ...], gap: int, text: str) -> str:
+        """A text in its slot: the root slot, nested in it the innermost valid inner class around, and the element."""
+        inner = ""
         for n in range(len(path), 0, -1):
             token = "/".join(path[:n]) if n > 1 else "/" + path[0]
             if token in self.nested:
-                return gap[block[3]], token
-        return gap[block[3]], ""
-
-    def fixed_texts(self) -> set[tuple[tuple[int, str], str]]:
-        """(slot, text) that most pages share, three at least (two may be near copies of an article): template text."""
-        seen = Counter(x for p, gap in zip(self.pages, self.gap) for x in {(self.slot(b, gap), b[0]) for b in p.blocks})
-        return {x for x, n in seen.items() if n * 2 > len(self.pages) and n > 2}
+                inner = token
+                break
+        return "\t".join((str(gap), text_hash(inner), text, "\n".join(home(path))))
 
-    def containers(self) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
-        """Paths of all elements whose varying slots are article: with all they hold, and by themselves.
+    def choose(self, counts: dict[str, tuple[int, ...]]) -> None:
+        """The texts of the template, and the elements whose varying slots are article.
 
-        These are the elements with pieces of running text (paragraphs, headings, lists) and
-        those that hold, where they occur, at least half of the heaviest one's text. A lighter
-        element with bare text is a notice beside the article. An article or main element is
-        kept whatever it holds; names choose nothing else.
+        A text that most pages share in one slot, three at least (two may be near copies of an
+        article), is the template's. Elements are taken with all they hold or by themselves:
+        those with pieces of running text (paragraphs, headings, lists) and those that hold,
+        where they occur, at least half of the heaviest one's text. A lighter element with
+        bare text is a notice beside the article. An article or main element is kept
+        whatever it holds; names choose nothing else.
         """
-        weight, pages, pieces = Counter(), Counter(), set()
-        for p, gap in zip(self.pages, self.gap):
-            here = Counter()
-            for b in p.blocks:
-                if not b[4] and b[2] * 2 <= len(b[0]) and (self.slot(b, gap), b[0]) not in self.fixed:
-                    path = home(b[1])
-                    here[path] += len(b[0])
-                    if b[5] or len(path) < len(b[1]):
-                        pieces.add(path)
-            weight.update(here)
-            pages.update(here.keys())
-        top = max((n / pages[h] for h, n in weight.items()), default=0)
-        heavy = {h for h, n in weight.items() if 2 * n >= top * pages[h]}
-        alone = {h for h in pieces if not h or h[-1].split(".")[0].split("#")[0] in ("body", "html")}
-        return heavy | pieces - alone, alone
-
-    def article(self, page: Page, gap: list[int]) -> str:
+        self.fixed = {k[1:] for k, v in counts.items() if k[0] == "x" and v[0] * 2 > self.n and v[0] > 2}
+        weight = Counter({k[1:]: v[1] for k, v in counts.items() if k[0] == "h"})
+        for x in self.fixed:
+            weight[x.split("\t", 3)[3]] -= counts["x" + x][1]
+        pages = {h: counts["h" + h] for h, n in weight.items() if n > 0}
+        top = max((weight[h] / v[0] for h, v in pages.items()), default=0)
+        heavy = {as_path(h) for h, v in pages.items() if 2 * weight[h] >= top * v[0]}
+        pieces = {as_path(h) for h, v in pages.items() if v[2]}
+        self.alone = {h for h in pieces if not h or h[-1].split(".")[0].split("#")[0] in ("body", "html")}
+        self.chosen = heavy | pieces - self.alone
+
+    def article(self, page: Page) -> str:
         """A page's varying slots inside the template's containers, in page order.
 
         A page that has none of the containers has its own, the one of its varying slots
         or, if other pages share all its text, of its article elements or all slots.
         """
+        gap = self.gaps(page.tokens)
         blocks = [b for b in page.blocks if not b[4]]
-        varying = [b for b in blocks if (self.slot(b, gap), b[0]) not in self.fixed]
+        varying = [b for b in blocks if self.text_key(b[1], gap[b[3]], text_hash(b[0])) not in self.fixed] if self.fixed else blocks
         held = [b for b in varying if home(b[1]) in self.alone or within(home(b[1]), self.chosen)]
         for others in (varying, [b for b in blocks if b[5]], blocks):
             if held:
@@ -270,6 +311,41 @@ class Template:
         return " ".join(b[0] for b in held)
 
 
+def as_path(key: str) -> tuple[str, ...]:
+    return tuple(key.split("\n")) if key else ()
+
+
+def add_up(totals: dict, rows) -> None:
+    for key, v in rows:
+        old = totals.get(key)
+        totals[key] = v if old is None else tuple(map(sum, zip(old, v)))
+
+
+def summed(outlines: list[Outline], host: str = ""):
+    """Sums of counts over pages at hand, for ``deduce``."""
+
+    def sum_up(count, templates):
+        out = defaultdict(dict)
+        for o in outlines:
+            add_up(out[host, o.shape], count(o, templates.get((host, o.shape))))
+        return out
+
+    return sum_up
+
+
+def deduce(sum_up) -> dict[tuple[str, str], Template]:
+    """Templates by (host, shape) from sums of counts over all pages, however they were summed."""
+    templates = {g: Template(c) for g, c in sum_up(token_counts, {}).items()}
+    while True:
+        counts = sum_up(order_counts, templates)
+        if all([t.ordered(counts.get(g, {})) for g, t in templates.items()]):
+            break
+    counts = sum_up(slot_counts, templates)
+    for g, t in templates.items():
+        t.choose(counts.get(g, {}))
+    return templates
+
+
 def home(path: tuple[str, ...]) -> tuple[str, ...]:
     """The element that holds a block's running text, without the elements of its pieces."""
     while path and path[-1].split(".")[0].split("#")[0] in FLOW:
@@ -284,14 +360,9 @@ def within(path: tuple[str, ...], chosen: set[tuple[str, ...]]) -> bool:
 def extract(sources: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     of = {s: Page(s) for s in sources}  # copies count once
-    shapes: dict[str, list[Page]] = defaultdict(list)
-    for p in of.values():  # a host's page types are apart by the elements directly inside their body
-        shapes[shape(p)].append(p)
-    texts = {}
-    for pages in shapes.values():
-        t = Template(pages)
-        texts.update((id(p), t.article(p, gap)) for p, gap in zip(t.pages, t.gap))
-    return [texts[id(of[s])] for s in sources]
+    templates = deduce(summed([Outline(p, s) for s, p in of.items()]))
+    texts = {s: templates["", shape(p)].article(p) for s, p in of.items()}
+    return [texts[s] for s in sources]
 
 
 def shape(page: Page) -> str:
@@ -303,32 +374,107 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"), host.alias("host"))
-    kind = rows.schema["id"].dataType.simpleString()
-    # At most HOT_SHARE hosts a partition can be hot: the list that is broadcast has that bound.
+    out = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string"
+    # At most HOT_SHARE hosts a partition can be hot: what is sent of them has that bound.
     shares = int(spark.conf.get("spark.sql.shuffle.partitions")) * HOT_SHARE
     counts = rows.groupBy("host").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.filter((F.col("count") * shares > total) & (F.col("count") > GROUP)).select(F.col("host"), F.ceil(F.col("count") * shares / F.lit(max(total, 1))).alias("parts"))
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0)))
-
+    hot = counts.filter((F.col("count") * shares > total) & (F.col("count") > GROUP)).select("host").collect()
+    names = F.broadcast(spark.createDataFrame(hot, "host string"))
+    cold = rows.join(names, "host", "left_anti") if hot else rows
+    near = cold.repartition("host").sortWithinPartitions("host").select("id", "url", "html", "host")
+    texts = near.mapInArrow(by_host, out)
+    if hot:
+        some = rows.join(names, "host", "left_semi").select("id", "url", "html", "host")
+        outlines = some.select("html", "host").mapInArrow(outlined, "host string, number long, outline binary").dropDuplicates(["host", "number"]).checkpoint()
+        sent = spark.sparkContext.broadcast(deduce(summed_by_spark(outlines)))
+        texts = texts.union(some.mapInArrow(with_templates(sent), out))
+    return texts.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def decoded(html: bytes | None) -> str:
+    return (html or b"").decode("utf-8", "replace")
+
+
+def answer(schema: pa.Schema, held: list[tuple], texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], schema.field(0).type), pa.array([h[1] for h in held], pa.string()), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+
+def by_host(batches):
+    """Texts of rows that stand host by host; a host's pages are held at once."""
+    held, name = [], None
+    for batch in batches:
+        schema = batch.schema
+        for i, u, h, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if held and key != name:
+                yield answer(schema, held, extract([x[2] for x in held]))
+                held = []
+            name = key
+            held.append((i, u, decoded(h)))
+    if held:
+        yield answer(schema, held, extract([x[2] for x in held]))
+
+
+def outlined(batches):
+    for batch in batches:
+        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            pages = [Outline(Page(s), s) for s in map(decoded, part.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([p.number - (1 << 63) for p in pages], pa.int64()), pa.array([zlib.compress(pickle.dumps(p), 6) for p in pages], pa.binary())], ["host", "number", "outline"])
+
+
+def summed_by_spark(outlines: DataFrame):
+    """Sums of counts over ``outlines``, for ``deduce``: added up by task, then by (host, shape, key).
+
+    Tokens on fewer than half of the pages and texts that most pages do not share decide nothing and stay where they are.
+    """
+    spark, numbers = outlines.sparkSession, "abcde"
+    pages: dict[tuple[str, str], int] = {}
+
+    def sum_up(count, templates):
+        sent = spark.sparkContext.broadcast((count, templates))
+
+        def run(batches):
+            count, templates = sent.value
+            totals: dict = {}
+
+            def rows():
+                keys = list(totals)
+                values = [pa.array([totals[k][j] for k in keys], pa.int64()) for j in range(5)]
+                done = pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], pa.string()) for j in range(3)] + values, ["host", "shape", "key", *numbers])
+                totals.clear()
+                return done
+
+            for batch in batches:
+                for host, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    page = pickle.loads(zlib.decompress(blob))
+                    add_up(totals, (((host, page.shape, key), v) for key, v in count(page, templates.get((host, page.shape)))))
+                    if len(totals) > 200_000:
+                        yield rows()
+            yield rows()
+
+        columns = "".join(f", {x} long" for x in numbers)
+        sums = outlines.select("host", "outline").mapInArrow(run, f"host string, shape string, key string{columns}").groupBy("host", "shape", "key").agg(*(F.sum(x).alias(x) for x in numbers))
+        if count is token_counts:
+            sums = sums.checkpoint()
+            pages.update(((r.host, r.shape), r.a) for r in sums.filter("key = 'n'").collect())
+        known = F.broadcast(spark.createDataFrame([(*g, n) for g, n in pages.items()], "host string, shape string, pages long"))
+        kind = F.substring("key", 1, 1)
+        wanted = sums.join(known, ["host", "shape"]).filter((kind != "t") | (F.col("a") * 2 >= F.col("pages"))).filter((kind != "x") | (F.col("a") * 2 > F.col("pages")) & (F.col("a") > 2))
+        out = defaultdict(dict)
+        for r in wanted.select("host", "shape", "key", *numbers).toLocalIterator():
+            out[r[0], r[1]][r[2]] = tuple(r[3:])
+        return out
+
+    return sum_up
+
+
+def with_templates(sent):
     def run(batches):
-        held, name = [], None
-
-        def flush():
-            texts = extract([h for _, _, h in held])
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], id_type), pa.array([u for _, u, _ in held], pa.string()), pa.array(texts, pa.string())], ["id", "url", "text"])
-
+        templates = sent.value
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for i, u, h, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and (key != name or len(held) >= GROUP):
-                    yield flush()
-                    held = []
-                name = key
-                held.append((i, u, (h or b"").decode("utf-8", "replace")))
-        if held:
-            yield flush()
-
-    near = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "id", "url").select("id", "url", "html", F.concat_ws("\n", "host", F.col("part").cast("string")).alias("key"))
-    out = near.mapInArrow(run, f"id {kind}, url string, text string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                held = list(zip(*(part.column(k).to_pylist() for k in (0, 1))))
+                pages = [Page(decoded(h)) for h in part.column(2).to_pylist()]
+                yield answer(part.schema, held, [templates[host, shape(p)].article(p) for host, p in zip(part.column(3).to_pylist(), pages)])
+
+    return run

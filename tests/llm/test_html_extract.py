@@ -98,3 +98,17 @@ def test_rows(spark):
     for r in got:
         assert (r.text, r.n_chars) == (want[r.page_id, r.url], len(r.text))
     assert extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_template_for_all_pages_of_a_host(spark):
+    pages = [site(k, 'div class="k"') for k in range(150)]
+    notes = [p.replace("<aside>", '<div class="n"><p>Open from nine to five</p></div><aside>') for p, _ in pages]
+    rows = [(k, f"https://big.example.com/{k}", p, None, None) for k, p in enumerate(notes)] + [(500 + k, f"https://s{k % 40}.example.com/{k}", site(k)[0], None, None) for k in range(80)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows + rows[:30], SCHEMA).repartition(3)).collect()}
+            assert all(got[k] == t for k, (_, t) in enumerate(pages))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
