@@ -16,7 +16,8 @@ documents, made per task before they are shuffled.
 
 Null and empty texts have no words: such documents have no hits, such items no
 windows. Repeated documents are judged one by one; repeated items and items with
-the same id count once. Empty tables give empty or clean results.
+the same id count once. An item with a null id hits like any other but has no entry in
+the list of items. Empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ _BITS = 21
 class Block:
     """Windows of one benchmark block over integer words; exact, since words are numbered by a dictionary."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        texts: dict[str, list[bytes]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        texts: dict[str | None, list[bytes]] = {}
         for item, body in items:
             texts.setdefault(item, []).append(body)
-        self.items = sorted(texts)
+        self.items = sorted(texts, key=lambda i: (i is not None, i or ""))
         number: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
         for k, item in enumerate(self.items):
@@ -56,7 +57,7 @@ class Block:
             raise ValueError("benchmark block has too many distinct words; lower block_bytes")
         self.words = pa.array(list(number), pa.large_binary())
         self.windows = list(rows)
-        self.owners = [sorted(rows[w]) for w in self.windows]
+        self.owners = [sorted(k for k in rows[w] if self.items[k] is not None) for w in self.windows]
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         self.flat = np.array([i for w in self.windows for i in w], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1].astype(np.int64)
@@ -113,10 +114,11 @@ def found_in(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The benchmark in parts by a hash of the item, each of about ``block_bytes`` at most."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("body")).filter("item is not null and body is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("body")).filter("body is not null")
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = -(-total * 2 // block_bytes) if total > block_bytes else 1
-    return [items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    # Items without an id are dealt by their text; the others stay whole.
+    return [items.filter(F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("body"))), F.lit(n)) == k) for k in range(n)]
 
 
 def shingle_counts(bodies: DataFrame, shared, sizes: list[int]) -> dict[int, int]:

@@ -57,3 +57,17 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     assert sorted((r.doc_id or 0) for r in clean.collect()) == sorted((i or 0) for i, _, h, _ in brute(rows, ITEMS) if not h)
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
     assert spans(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 100])
+def test_items_without_an_id_hit_but_are_not_listed(spark, block_bytes):
+    items = [*ITEMS, (None, prose(53, 30)), (None, prose(54, 12)), (None, ITEMS[0][1]), (None, None)]
+    rows = [*sample_docs(), (40, "x " + prose(53, 30) + " y"), (41, prose(54, 12)), (42, prose(61, 25))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = spans(table(spark, rows), bench, block_bytes=block_bytes)
+    flat = [(r.doc_id, r.n_words, sum(b - a for a, b in r.spans), r["items"]) for r in got.collect()]
+    want = [(i, n, hit, [x for x in names if x != "None"]) for i, n, hit, names in brute(rows, items)]
+    assert sorted(flat, key=str) == sorted(want, key=str)
+    assert {i: hit for i, _, hit, _ in flat}[41] == 12
+    kept = {r.doc_id for r in decontaminate(table(spark, rows), bench, block_bytes=block_bytes).collect()}
+    assert 42 in kept and not {40, 41} & kept
