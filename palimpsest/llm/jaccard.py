@@ -292,10 +292,15 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
 
 
 def first_of_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their class; one row an id is expected.
+    """The rows of ``docs``, all columns, that are the first of their class.
 
-    Rows with a null id stay, as they cannot be told apart.
+    Of rows with one id and text, one stays; an id is expected to stand for one text. Rows with
+    a null id stay, as they cannot be told apart.
     """
     found = classes(docs, size, num, den, id_col, text_col)
     later = found.filter(f"component_id < `{id_col}`").select(F.col(id_col).alias("_key"))
+    again = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again")
+    if not again.isEmpty():  # else the texts need no further exchange
+        same = F.col(id_col) == F.col("_again")
+        docs = docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
     return docs.join(later, F.col(id_col) == F.col("_key"), "left_anti")

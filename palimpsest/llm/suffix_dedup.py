@@ -334,10 +334,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with repeats cut out of the text; ids must be unique.
+    """All columns of ``docs`` with repeats cut out of the text; an id stands for one text.
 
-    Parts of characters at a cut are left out. Null texts and null ids stay as they are.
+    Rows with one id and text are cut alike and all stay. Parts of characters at a cut are left
+    out, U+FFFD that the text had is not. Null texts and null ids stay as they are.
     """
     kept = remove_repeats(docs.filter(F.col(id_col).isNotNull()), length, id_col, text_col).filter("n_removed > 0")
-    kept = kept.select(F.col(id_col).alias("_key"), F.expr("replace(make_valid_utf8(cast(kept as string)), '\ufffd', '')").alias("_kept"))
-    return docs.join(kept, F.col(id_col) == F.col("_key"), "left").select(*[F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # U+FFFD of the text is written as U+0001 B (and U+0001 as U+0001 A) while the ill-formed parts go.
+    whole = F.expr(r"replace(replace(cast(kept as string), '\u0001', '\u0001A'), '�', '\u0001B')")
+    whole = F.replace(F.make_valid_utf8(whole), F.lit("�"), F.lit(""))
+    whole = F.replace(F.replace(whole, F.lit("\x01B"), F.lit("�")), F.lit("\x01A"), F.lit("\x01"))
+    kept = kept.select(F.col(id_col).alias("_key"), F.col("n_bytes").alias("_bytes"), whole.alias("_kept")).dropDuplicates(["_key", "_bytes"])
+    same = (F.col(id_col) == F.col("_key")) & (F.octet_length(F.col(text_col)) == F.col("_bytes"))
+    return docs.join(kept, same, "left").select(*[F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -85,3 +85,15 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_replacement_characters(spark):
+    long = prose(7, 40)
+    own = "\ufffd begin \x01B \x01A \x01 " + prose(8, 20) + " \ufffd"
+    rows = [(1, long), (2, f"{own} {long} {own[::-1]}"), (2, f"{own} {long} {own[::-1]}"), (2, f"{own} {long} {own[::-1]}"), (3, "short"), (3, "short"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut_rows = corpus_pipeline.cut_repeats(spark, docs, "").collect()
+    want = cut([x for x in rows if x[0] is not None]) + [x for x in rows if x[0] is None]
+    assert sorted(((r.doc_id, r.text) for r in cut_rows), key=str) == sorted(want, key=str)
+    first = corpus_pipeline.keep_first_of_near_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in first), key=str) == sorted({x for x in rows if x[0] is not None} | set()) + [(None, "x")] * 2
