@@ -69,7 +69,8 @@ class Vocabulary:
         grows until its first and last token are those it had before (or it has reached the
         piece's ends): from there on every neighbouring pair is one that its own half had
         settled, so the whole is what merging the piece at once gives. Halves of one level
-        don't depend on each other; the tree's depth is logarithmic.
+        don't depend on each other, but are encoded and joined in sequence here; the tree's
+        depth is logarithmic.
         """
         if self.ends:
             raise ValueError("end-of-word vocabularies have no long unsplit pieces to join")
