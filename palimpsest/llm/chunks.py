@@ -1,22 +1,28 @@
-"""Round trips between chunks of documents and buckets of content.
+"""Round trips between chunks of documents and ranges of content.
 
 Documents are dealt by a hash of their id to chunks of bounded size, packed and
 compressed, and shuffled once. An operator then
 
-* ``emit``: makes messages from each chunk for buckets chosen by content, with
+* ``emit``: makes records from each chunk for ranges chosen by content, with
   equal content met once per chunk (so a hot passage or group of copies costs a
-  bucket at most one message part per chunk, not one per copy),
-* ``solve``: works on each bucket and answers the chunks that wrote to it,
+  range at most one record per chunk, not one per copy),
+* ``solve``: works on each range and answers the chunks that wrote to it,
 * ``apply``: lets each chunk act on its answers, using the same shuffled chunks.
 
-All three are pure functions of their group's rows, whatever order they arrive in,
+Records travel in crates: all that a chunk has for a range is one compressed row. A chunk
+fills at most ``FAN`` crates whatever the number of ranges; beyond that, crates go to
+groups of ranges first and are dealt anew there, one hop for each factor of ``FAN``. So the
+rows of an exchange grow with the corpus, not with its square, and no crate gets tiny.
+
+All steps are pure functions of their group's rows, whatever order they arrive in,
 so a lost executor costs recomputation and nothing else. Nothing goes to the driver.
 """
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import body_buffers, narrow
+from .superkmers import gather
 
 #: Text bytes aimed at in a chunk. A single longer text makes a longer chunk.
-CHUNK_BYTES = 4 << 20
-#: Content buckets for each chunk.
-BUCKETS = 2
+CHUNK_BYTES = 2 << 20
+#: Ranges of content: so many, unless a range would get the records of more than SHARE chunks.
+RANGES, SHARE = 64, 16
+#: Crates that a group fills at most, where there are more sources and targets than that.
+FAN = 256
+MAIL = "at long, lane long, data binary"
 #: Stands for a null id inside: later than every other id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -85,10 +95,7 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def text_volume(docs: DataFrame, text_col: str) -> int:
-    """About the bytes of text: from the plan's statistics if a source gives them, else by a sum."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if 0 < size < 1 << 55:
-        return size * 2
+    """The bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
 
 
@@ -140,86 +147,138 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
     return source.mapInArrow(run, "chunk long, data binary"), n
 
 
-def messages(targets: np.ndarray, write: Callable[[np.ndarray], bytes]) -> tuple[list[int], list[bytes]]:
-    """One message for each target that occurs; ``write`` packs the rows with these indices."""
-    order = np.argsort(targets, kind="stable")
-    if not len(order):
-        return [], []
-    cut = np.flatnonzero(np.diff(targets[order])) + 1
-    parts = np.split(order, cut)
-    return [int(targets[p[0]]) for p in parts], [write(p) for p in parts]
+class Mail(NamedTuple):
+    """Records for numbered targets: equal columns and, if there is a ``body``, ``size`` bytes of it each."""
+
+    to: np.ndarray
+    columns: list[np.ndarray]
+    size: np.ndarray | None = None
+    body: np.ndarray | None = None
+
+
+class Records(NamedTuple):
+    """Records as they arrive, with the number of the group that each is ``of``."""
+
+    to: np.ndarray
+    of: np.ndarray
+    columns: list[np.ndarray]
+    size: np.ndarray | None
+    body: np.ndarray | None
+
+    def take(self, rows: np.ndarray) -> Records:
+        body = None
+        if self.body is not None:
+            size = self.size.astype(np.int64)
+            body = self.body[gather((np.cumsum(size) - size)[rows], size[rows])]
+        return Records(self.to[rows], self.of[rows], [c[rows] for c in self.columns], None if self.size is None else self.size[rows], body)
+
+    def parts(self, spread: np.ndarray, weight: int, limit: int) -> Iterator[Records]:
+        """Parts of about ``limit`` of the weight; records with one ``spread`` (a byte) stay together."""
+        n = min(256, -(-weight // limit))
+        if n < 2:
+            yield self
+            return
+        part = spread.astype(np.int64) * n >> 8
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(n + 1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if a < b:
+                yield self.take(order[a:b])
+
+
+def ranges_for(n: int) -> int:
+    """Ranges for ``n`` chunks."""
+    return max(min(RANGES, 2 * n), -(-n // SHARE))
+
+
+def widths(sources: int, targets: int) -> list[int]:
+    """Targets that one crate covers, hop by hop; the last covers one."""
+    if min(sources, targets) <= FAN:
+        return [1]
+    out, w = [], targets
+    while w > 1:
+        w = -(-w // FAN)
+        out.append(w)
+    return out
+
+
+def crated(records: Records, width: int, lane: int) -> pa.Table:
+    """Rows of ``MAIL``: one crate for each ``width`` neighbouring targets."""
+    order = np.argsort(records.to, kind="stable")
+    at = records.to[order] // width
+    cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at)).tolist()
+    blobs, sealed = [], np.array([records.body is not None], np.uint8)
+    for a, b in zip(cut[:-1], cut[1:]):
+        r = records.take(order[a:b])
+        blobs.append(packed(sealed, r.to.astype(np.uint32), r.of.astype(np.uint32), *r.columns, *(() if r.body is None else (r.size.astype(np.uint32), r.body))))
+    return pa.table([pa.array(at[cut[:-1]], pa.int64()), pa.array([lane] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["at", "lane", "data"])
+
 
+def opened(blobs: list[bytes]) -> Records | None:
+    """All records of some crates, in order of their sources; each source's in the order it sent them."""
+    crates = sorted((c for c in map(unpacked, blobs) if len(c[1])), key=lambda c: int(c[2][0]))
+    if not crates:
+        return None
+    sealed = bool(crates[0][0][0])
+    columns = [np.concatenate([c[k] for c in crates]) for k in range(1, len(crates[0]))]
+    size, body = columns[-2:] if sealed else (None, None)
+    return Records(columns[0].astype(np.int64), columns[1].astype(np.int64), columns[2 : len(columns) - 2 * sealed], size, body)
 
-def emit(chunks: DataFrame, function: Callable[[Chunk], tuple[list[int], list[bytes]]]) -> DataFrame:
-    """Rows (bucket, chunk, data) made from each chunk."""
 
+def dealer(width: int, fan: int):
     def run(key, table):
-        buckets, blobs = function(Chunk(table.column("data").to_pylist()))
-        return tidy(pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"]))
+        return tidy(crated(opened(table.column("data").to_pylist()), width, key[1].as_py() // fan))
 
-    return chunks.groupBy("chunk").applyInArrow(run, "bucket long, chunk long, data binary")
+    return run
 
 
-def solve(sent: DataFrame, function: Callable[[list[tuple[int, bytes]]], list[tuple[int, bytes]]]) -> DataFrame:
-    """Rows (chunk, data): the buckets' answers."""
+def hopped(mail: DataFrame, sources: int, targets: int) -> DataFrame:
+    """Crates at their own targets, dealt anew as often as their number needs."""
+    for width in widths(sources, targets)[1:]:
+        mail = mail.groupBy("at", "lane").applyInArrow(dealer(width, FAN), MAIL)
+    return mail
 
-    def run(table):
-        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("data").to_pylist()), key=lambda r: r[0])
-        answers = function(rows)
-        return tidy(pa.table([pa.array([c for c, _ in answers], pa.int64()), pa.array([d for _, d in answers], pa.binary())], ["chunk", "data"]))
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk long, data binary")
+def sender(sources: int, targets: int) -> Callable[[pa.Scalar, Mail], pa.Table]:
+    """Makes a group's crates for the first hop."""
+    ways, fan = widths(sources, targets), FAN
 
+    def send(number: pa.Scalar, mail: Mail) -> pa.Table:
+        n = number.as_py()
+        records = Records(mail.to, np.full(len(mail.to), n, np.int64), mail.columns, mail.size, mail.body)
+        return tidy(crated(records, ways[0], n // fan if len(ways) > 1 else 0))
 
-def common_keys(chunks: DataFrame, keys_of: Callable[[Chunk], np.ndarray], buckets: int) -> DataFrame:
-    """Answers (chunk, data) that say which of its keys a chunk shares with another chunk.
+    return send
 
-    ``keys_of`` gives a chunk's distinct 64-bit keys in order. A key travels as 48 bits, the
-    answer as one bit; two keys that agree in those bits and the bucket count as one, so a
-    key may seem shared that isn't, never the other way round.
-    """
 
-    def ask(chunk):
-        keys = keys_of(chunk)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        return messages(bucket, lambda k: packed(bucket[k[:1]], (keys[k] >> np.uint64(32)).astype(np.uint32), ((keys[k] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)))
-
-    def answer(rows):
-        got = [(c, *unpacked(d)) for c, d in rows]
-        sizes = [len(g[2]) for g in got]
-        key = np.concatenate([(g[2].astype(np.uint64) << np.uint64(16)) | g[3] for g in got])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        # Keys of one chunk are distinct but for the bits cut off, so equal neighbours are of two chunks.
-        more = np.zeros(len(key), bool)
-        more[order[1:][same]] = True
-        more[order[:-1][same]] = True
-        cut = np.cumsum([0, *sizes])
-        return [(g[0], packed(g[1], np.packbits(more[a:b]))) for g, a, b in zip(got, cut[:-1], cut[1:])]
-
-    return solve(emit(chunks, ask), answer)
-
-
-def common_among(keys: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
-    """Reads a chunk's answers: for each of its keys (as ``keys_of`` gave them) whether it is shared."""
-    out = np.zeros(len(keys), bool)
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    for data in answers:
-        b, bits = unpacked(data)
-        lo, hi = np.searchsorted(bucket[order], [b[0], b[0] + 1])
-        out[order[lo:hi]] = np.unpackbits(bits, count=hi - lo).astype(bool)
-    return out
+def emit(chunks: DataFrame, function: Callable[[Chunk], Mail], n: int, ranges: int) -> DataFrame:
+    """Crates at ranges (``at``), made from each of the ``n`` chunks."""
+    send = sender(n, ranges)
+
+    def run(key, table):
+        return send(key[0], function(Chunk(table.column("data").to_pylist())))
+
+    return hopped(chunks.groupBy("chunk").applyInArrow(run, MAIL), n, ranges)
 
 
-def emit_with(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list[bytes]], tuple[list[int], list[bytes]]]) -> DataFrame:
+def emit_with(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list[bytes]], Mail], n: int, ranges: int) -> DataFrame:
     """As ``emit``, with answers to an earlier question."""
+    send = sender(n, ranges)
 
     def run(key, docs, replies):
-        buckets, blobs = function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist())
-        return tidy(pa.table([pa.array(buckets, pa.int64()), pa.array([key[0].as_py()] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "data"]))
+        return send(key[0], function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist()))
+
+    return hopped(chunks.groupBy("chunk").cogroup(answers.groupBy("at")).applyInArrow(run, MAIL), n, ranges)
+
+
+def solve(sent: DataFrame, function: Callable[[Records], Mail], ranges: int, n: int) -> DataFrame:
+    """Crates at chunks (``at``): the ranges' answers."""
+    send = sender(ranges, n)
+
+    def run(key, table):
+        return send(key[0], function(opened(table.column("data").to_pylist())))
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "bucket long, chunk long, data binary")
+    return hopped(sent.groupBy("at").applyInArrow(run, MAIL), ranges, n)
 
 
 def apply(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list[bytes]], pa.Table], schema: str) -> DataFrame:
@@ -228,4 +287,66 @@ def apply(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list
     def run(docs, replies):
         return tidy(function(Chunk(docs.column("data").to_pylist()), replies.column("data").to_pylist()))
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("at")).applyInArrow(run, schema)
+
+
+#: Keys compared at a time.
+KEYS = 1 << 20
+
+
+def short(keys: np.ndarray) -> list[np.ndarray]:
+    """The upper 48 bits of 64-bit keys, as two columns."""
+    return [(keys >> np.uint64(32)).astype(np.uint32), ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)]
+
+
+def joined_key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return (hi.astype(np.uint64) << np.uint64(16)) | lo
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (keys % np.uint64(ranges)).astype(np.int64)
+
+
+def common_keys(chunks: DataFrame, keys_of: Callable[[Chunk], np.ndarray], n: int) -> DataFrame:
+    """Answers that say which of its keys a chunk shares with another chunk.
+
+    ``keys_of`` gives a chunk's distinct 64-bit keys in order. A key travels as 48 bits, the
+    answer as one bit; two keys that agree in those bits and the range count as one, so a
+    key may seem shared that isn't, never the other way round.
+    """
+    ranges = ranges_for(n)
+
+    def ask(chunk):
+        keys = keys_of(chunk)
+        return Mail(range_of(keys, ranges), short(keys))
+
+    def answer(r):
+        key, more = joined_key(*r.columns), np.zeros(len(r.to), bool)
+        part = r.columns[1].astype(np.int64) % max(1, -(-len(key) // KEYS))
+        for p in range(int(part.max(initial=-1)) + 1):
+            rows = np.flatnonzero(part == p)
+            order = rows[np.argsort(key[rows])]
+            # Keys of one chunk are distinct but for the bits cut off, so equal neighbours are of two chunks.
+            same = key[order][1:] == key[order][:-1]
+            more[order[1:][same]] = True
+            more[order[:-1][same]] = True
+        by = np.argsort(r.of, kind="stable")
+        first = np.flatnonzero(np.diff(r.of[by], prepend=-1))
+        bits = [np.packbits(more[rows]) for rows in np.split(by, first[1:])]
+        return Mail(r.of[by[first]], [r.to[by[first]].astype(np.uint32)], np.array([len(b) for b in bits], np.int64), np.concatenate(bits))
+
+    return solve(emit(chunks, ask, n, ranges), answer, ranges, n)
+
+
+def common_among(keys: np.ndarray, answers: list[bytes], n: int) -> np.ndarray:
+    """Reads a chunk's answers: for each of its keys (as ``keys_of`` gave them) whether it is shared."""
+    out, r = np.zeros(len(keys), bool), opened(answers)
+    if r is None:
+        return out
+    bucket = range_of(keys, ranges_for(n))
+    order = np.argsort(bucket, kind="stable")
+    bucket, end = bucket[order], np.cumsum(r.size.astype(np.int64))
+    for b, a, e in zip(r.columns[0].tolist(), (end - r.size).tolist(), end.tolist()):
+        lo, hi = np.searchsorted(bucket, [b, b + 1])
+        out[order[lo:hi]] = np.unpackbits(r.body[a:e], count=hi - lo).astype(bool)
+    return out

@@ -71,42 +71,33 @@ class Sets:
         return np.concatenate([self.parts[k] for k in rows]), np.repeat(np.arange(len(rows)), self.sizes[rows])
 
 
-def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 48 bits, which stand for a shingle when it is counted."""
-    return (h >> U(32)).astype(np.uint32), ((h >> U(16)) & U(0xFFFF)).astype(np.uint16)
-
-
-def whole(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return (hi.astype(np.uint64) << U(16)) | lo.astype(np.uint64)
-
-
 def counts_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 48 bits of shingles, which stand for them when they are counted, and in how many distinct sets they are."""
     return np.unique(sets.flat(list(sets.own.values()))[0] >> U(16), return_counts=True)
 
 
-def emitter(size: int, buckets: int):
-    def emit(chunk: C.Chunk):
+def emitter(size: int, ranges: int):
+    def emit(chunk: C.Chunk) -> C.Mail:
         key, n = counts_of(Sets(chunk, size))
-        h = key << U(16)
-        return C.messages((key % U(buckets)).astype(np.int64), lambda k: C.packed(*halves(h[k]), n[k].astype(np.uint32)))
+        return C.Mail(C.range_of(key, ranges), [*C.short(key << U(16)), n.astype(np.uint32)])
 
     return emit
 
 
-def count(rows):
+def count(sent: C.Records) -> C.Mail:
     """Counts over all chunks of the shingles that occur more than once, back to the chunks that hold them."""
-    got = [(c, *C.unpacked(d)) for c, d in rows]
-    chunk = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
-    key, n = whole(np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])), np.concatenate([g[3] for g in got])
-    order = np.argsort(key)
-    new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
-    df = np.empty(len(key), np.int64)
-    df[order] = total[np.cumsum(new) - 1]
+    hi, lo, n = sent.columns
+    key, df = C.joined_key(hi, lo), np.zeros(len(n), np.int64)
+    part = lo.astype(np.int64) % max(1, -(-len(key) // C.KEYS))
+    for p in range(int(part.max(initial=-1)) + 1):
+        rows = np.flatnonzero(part == p)
+        order = rows[np.argsort(key[rows])]
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        df[order] = total[np.cumsum(new) - 1]
     k = np.flatnonzero(df > 1)
-    targets, blobs = C.messages(chunk[k], lambda p: C.packed(*halves(key[k[p]] << U(16)), np.minimum(df[k[p]], 2**32 - 1).astype(np.uint32)))
-    return list(zip(targets, blobs))
+    return C.Mail(sent.of[k], [hi[k], lo[k], np.minimum(df[k], 2**32 - 1).astype(np.uint32)])
 
 
 def prefixes(size: int, num: int, den: int):
@@ -117,9 +108,10 @@ def prefixes(size: int, num: int, den: int):
         rows = list(sets.own.values())
         flat, of = sets.flat(rows)
         df = np.ones(len(flat), np.int64)
-        if replies and len(flat):
-            hi, lo, n = (np.concatenate(x) for x in zip(*map(C.unpacked, replies)))
-            key = whole(hi, lo)
+        found = C.opened(replies)
+        if found and len(flat):
+            hi, lo, n = found.columns
+            key = C.joined_key(hi, lo)
             order = np.argsort(key)
             key, n = key[order], n[order]
             at = np.minimum(np.searchsorted(key, flat >> U(16)), len(key) - 1)
@@ -266,7 +258,8 @@ def tiles(sets: DataFrame, num: int, den: int) -> DataFrame:
 def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), n_links (rows linked with this one)."""
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    counted = C.solve(C.emit(parts, emitter(size, C.BUCKETS * n)), count)
+    ranges = C.ranges_for(n)
+    counted = C.solve(C.emit(parts, emitter(size, ranges), n, ranges), count, ranges, n)
     act = prefixes(size, num, den)
 
     def with_chunk(key, left, right):
@@ -274,7 +267,7 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
         return C.tidy(out.append_column("chunk", pa.array([key[0].as_py()] * out.num_rows, pa.int64())))
 
     # The rows feed several plans below: written once to the shared folder, read from there.
-    rows = parts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(with_chunk, "id long, node binary, n long, token long, chunk long").checkpoint()
+    rows = parts.groupBy("chunk").cogroup(counted.groupBy("at")).applyInArrow(with_chunk, "id long, node binary, n long, token long, chunk long").checkpoint()
     everyone = rows.filter("token is null").select("id", "node", "n")
     copies = everyone.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     entries = rows.filter("token is not null").select("token", "node", "n", "chunk")

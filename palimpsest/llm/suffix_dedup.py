@@ -6,8 +6,8 @@ with a smaller id; the smallest id keeps it. Strings never cross documents.
 Each window of ``length`` bytes has a minimiser, equal windows the same one. Chunks of
 documents first ask which of their minimisers also occur elsewhere, by hash; windows
 whose minimiser occurs nowhere else repeat nowhere and go no further. The others are
-sent, with their neighbours that share the minimiser, to its bucket. A bucket sorts the
-suffixes of the distinct strings it got, computes common prefixes of neighbours
+sent, with their neighbours that share the minimiser, to its range. A range sorts the
+suffixes of the distinct strings it got (told apart by their bytes, not by hashes), computes common prefixes of neighbours
 (the enhanced suffix array), and scans them with a stack: each node of the interval
 tree is a set of suffixes with a common prefix. A node whose suffixes differ in the
 byte to their left cannot be extended to either side: a maximal repeat, reported
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .superkmers import RangeHash, U, byte_values, gather, runs, shared, sliding_argmin, sort_rows
+from .superkmers import RangeHash, U, byte_values, classes, gather, runs, shared, sliding_argmin, sort_rows
 
 #: Bytes of the k-mers from which minimisers are chosen.
 KMER = 20
@@ -81,7 +81,7 @@ class Segments:
         self.start, count, anchor, key, content = segments(chunk.data, chunk.offsets, length)
         self.ids = chunk.ids[np.searchsorted(chunk.offsets, self.start, "right") - 1] if len(self.start) else self.start
         # Classes in the order of first places, so that ids in messages run up and compress.
-        _, first, of = np.unique(content, return_index=True, return_inverse=True)
+        first, of = classes(content, chunk.data, self.start, count + length - 1)
         order = np.argsort(first)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -104,25 +104,28 @@ def anchors(length: int):
     return keys
 
 
-def may_repeat(s, answers: list[bytes], buckets: int) -> np.ndarray:
+def may_repeat(s, answers: list[bytes], n: int) -> np.ndarray:
     """Classes whose minimiser occurs in another chunk or with several ids (or places) in this one."""
     key, of = np.unique(s.key, return_inverse=True)
-    near = C.common_among(key, answers, buckets)
+    near = C.common_among(key, answers, n)
     return near[of] | (np.bincount(of)[of] > 1) | s.several
 
 
-def emitter(length: int, buckets: int):
-    def emit(chunk: C.Chunk, answers: list[bytes]):
-        s = Segments(chunk, length)
-        size = s.count + length - 1
-        some = np.flatnonzero(may_repeat(s, answers, buckets))
+def byte_of(key: np.ndarray) -> np.ndarray:
+    """A byte of a hash, by which a range's records are parted."""
+    return (key >> U(40)).astype(np.uint8)
+
 
-        def write(k):
-            k = some[k]
-            body = chunk.data[gather(s.start[s.first[k]], size[k])]
-            return C.packed(k.astype(np.uint32), s.count[k].astype(np.uint16), s.anchor[k].astype(np.uint16), s.low[k], (s.high[k] - s.low[k]).view(np.uint64), body)
+def emitter(length: int, n: int):
+    ranges = C.ranges_for(n)
 
-        return C.messages((s.key[some] % U(buckets)).astype(np.int64), write)
+    def emit(chunk: C.Chunk, answers: list[bytes]) -> C.Mail:
+        s = Segments(chunk, length)
+        k = np.flatnonzero(may_repeat(s, answers, n))
+        size = s.count[k] + length - 1
+        body = chunk.data[gather(s.start[s.first[k]], size)]
+        columns = [k.astype(np.uint32), byte_of(s.key[k]), s.anchor[k].astype(np.uint16), s.low[k], (s.high[k] - s.low[k]).view(np.uint64)]
+        return C.Mail(C.range_of(s.key[k], ranges), columns, size, body)
 
     return emit
 
@@ -213,76 +216,80 @@ class SuffixArray:
         return keep[a], keep[b], d, lo
 
 
-def solver(length: int):
-    context = (length + KMER) // 2  # a window holds its k-mer and as much on one side at least
+#: Bytes of strings that are sorted at a time (more if they share one minimiser).
+PART = 2 << 20
 
-    def solve(rows):
-        got = [(c, *C.unpacked(d)) for c, d in rows]
-        chunk = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
-        number, count, anchor, low, span, data = (np.concatenate([g[k] for g in got]) for k in range(1, 7))
-        del got
-        count, anchor = count.astype(np.int64), anchor.astype(np.int64)
-        high = low + span.view(np.int64)
-        size = count + length - 1
-        start = np.cumsum(size) - size
-        h = RangeHash(byte_values(data))
-        content = h.of(start, start + size)
-        _, first, of = np.unique(content, return_index=True, return_inverse=True)
-        c_low = np.full(len(first), C.NULL_ID)
-        c_high = np.full(len(first), np.iinfo(np.int64).min)
-        np.minimum.at(c_low, of, low)
-        np.maximum.at(c_high, of, high)
-        c_start, c_size, c_anchor = start[first], size[first], anchor[first]
-        # A string that shares no window with another one has none of the k-mer's contexts in common.
-        half = context - KMER
-        a = c_start + c_anchor
-        has_left, has_right = c_anchor >= half, c_anchor + context <= c_size
-        mate = np.zeros(len(first), bool)
-        for has, lo, hi in ((has_left, a - half, a + KMER), (has_right, a, a + context)):
-            k = np.flatnonzero(has)
-            mate[k] |= shared(h.of(lo[k], hi[k]))
-        del h
-        base = np.cumsum(c_size - length + 1) - (c_size - length + 1)
-        best = np.full(int((c_size - length + 1).sum()), C.NULL_ID)
-        whole = np.flatnonzero(c_low < c_high)  # the string itself repeats
-        best[gather(base[whole], c_size[whole] - length + 1)] = np.repeat(c_low[whole], c_size[whole] - length + 1)
-        k = np.flatnonzero(mate)
-        if len(k):
-            sa = SuffixArray(data, c_start[k], c_size[k], length)
-            f, last, depth, lo = sa.repeats(c_low[k], c_high[k], length)
-            many = last - f + 1
-            member = gather(f, many)
-            at = base[k[sa.string[member]]] + sa.offset[member]
-            windows = np.repeat(depth - length + 1, many)
-            np.minimum.at(best, gather(at, windows), np.repeat(np.repeat(lo, many), windows))
-        # Runs of windows with one smallest id, then to every chunk that holds the string after it.
-        string = np.repeat(np.arange(len(first)), c_size - length + 1)
-        new = np.ones(len(best), bool)
-        new[1:] = (best[1:] != best[:-1]) | (string[1:] != string[:-1])
-        r = np.flatnonzero(new)
-        r_size = np.diff(np.append(r, len(best)))
-        real = best[r] < c_high[string[r]]
-        r, r_size = r[real], r_size[real]
-        per = np.bincount(string[r], minlength=len(first))
-        r_first = np.cumsum(per) - per
-        copies = np.flatnonzero(per[of] > 0)
-        pick = gather(r_first[of[copies]], per[of[copies]])
-        copy = np.repeat(copies, per[of[copies]])
-        need = best[r[pick]] < high[copy]
-        pick, copy = pick[need], copy[need]
-        s0 = (r[pick] - base[string[r[pick]]]).astype(np.uint16)
-        targets, blobs = C.messages(chunk[copy], lambda p: C.packed(number[copy[p]], s0[p], r_size[pick[p]].astype(np.uint16), best[r[pick[p]]]))
-        return list(zip(targets, blobs))
+
+def solver(length: int):
+    def solve(sent: C.Records) -> C.Mail:
+        found = [repeats_among(r, length) for r in sent.parts(sent.columns[1], len(sent.body), PART)]
+        to, *columns = (np.concatenate(x) for x in zip(*found))
+        return C.Mail(to, columns)
 
     return solve
 
 
+def repeats_among(sent: C.Records, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that occur in an earlier document, for each chunk that sent them: chunk, string, first window, windows, smallest id."""
+    context = (length + KMER) // 2  # a window holds its k-mer and as much on one side at least
+    chunk, data, size = sent.of, sent.body, sent.size.astype(np.int64)
+    number, _, anchor, low, span = sent.columns
+    anchor, high = anchor.astype(np.int64), low + span.view(np.int64)
+    start = np.cumsum(size) - size
+    h = RangeHash(byte_values(data))
+    first, of = classes(h.of(start, start + size), data, start, size)
+    c_low = np.full(len(first), C.NULL_ID)
+    c_high = np.full(len(first), np.iinfo(np.int64).min)
+    np.minimum.at(c_low, of, low)
+    np.maximum.at(c_high, of, high)
+    c_start, c_size, c_anchor = start[first], size[first], anchor[first]
+    # A string that shares no window with another one has none of the k-mer's contexts in common.
+    half = context - KMER
+    a = c_start + c_anchor
+    has_left, has_right = c_anchor >= half, c_anchor + context <= c_size
+    mate = np.zeros(len(first), bool)
+    for has, lo, hi in ((has_left, a - half, a + KMER), (has_right, a, a + context)):
+        k = np.flatnonzero(has)
+        mate[k] |= shared(h.of(lo[k], hi[k]))
+    del h
+    base = np.cumsum(c_size - length + 1) - (c_size - length + 1)
+    best = np.full(int((c_size - length + 1).sum()), C.NULL_ID)
+    whole = np.flatnonzero(c_low < c_high)  # the string itself repeats
+    best[gather(base[whole], c_size[whole] - length + 1)] = np.repeat(c_low[whole], c_size[whole] - length + 1)
+    k = np.flatnonzero(mate)
+    if len(k):
+        sa = SuffixArray(data, c_start[k], c_size[k], length)
+        f, last, depth, lo = sa.repeats(c_low[k], c_high[k], length)
+        many = last - f + 1
+        member = gather(f, many)
+        at = base[k[sa.string[member]]] + sa.offset[member]
+        windows = np.repeat(depth - length + 1, many)
+        np.minimum.at(best, gather(at, windows), np.repeat(np.repeat(lo, many), windows))
+    # Runs of windows with one smallest id, then to every chunk that holds the string after it.
+    string = np.repeat(np.arange(len(first)), c_size - length + 1)
+    new = np.ones(len(best), bool)
+    new[1:] = (best[1:] != best[:-1]) | (string[1:] != string[:-1])
+    r = np.flatnonzero(new)
+    r_size = np.diff(np.append(r, len(best)))
+    real = best[r] < c_high[string[r]]
+    r, r_size = r[real], r_size[real]
+    per = np.bincount(string[r], minlength=len(first))
+    r_first = np.cumsum(per) - per
+    copies = np.flatnonzero(per[of] > 0)
+    pick = gather(r_first[of[copies]], per[of[copies]])
+    copy = np.repeat(copies, per[of[copies]])
+    need = best[r[pick]] < high[copy]
+    pick, copy = pick[need], copy[need]
+    s0 = (r[pick] - base[string[r[pick]]]).astype(np.uint16)
+    return chunk[copy], number[copy], s0, r_size[pick].astype(np.uint16), best[r[pick]]
+
+
 def applier(length: int, with_text: bool):
     def act(chunk: C.Chunk, replies: list[bytes]) -> pa.Table:
-        change = np.zeros(len(chunk.data) + 1, np.int32)
-        if replies:
+        change, found = np.zeros(len(chunk.data) + 1, np.int32), C.opened(replies)
+        if found:
             s = Segments(chunk, length)
-            number, at, windows, low = (np.concatenate(x) for x in zip(*map(C.unpacked, replies)))
+            number, at, windows, low = found.columns
             number = number.astype(np.int64)
             by = np.argsort(s.of, kind="stable")
             per = np.bincount(s.of, minlength=len(s.first))
@@ -326,8 +333,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    common = C.common_keys(parts, anchors(length), C.BUCKETS * n)
-    answers = C.solve(C.emit_with(parts, common, emitter(length, C.BUCKETS * n)), solver(length))
+    common, ranges = C.common_keys(parts, anchors(length), n), C.ranges_for(n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, n), n, ranges), solver(length), ranges, n)
     tail = "spans array<struct<start:long,end:long>>, kept binary" if with_text else "kept_sha256 string"
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("id", id_col)

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 from .columns import SPACE_WORDS, split_words, words_array
-from .suffix_dedup import may_repeat
-from .superkmers import RangeHash, U, byte_values, gather, runs, shared, sliding_argmin, sort_rows
+from .suffix_dedup import PART, byte_of, may_repeat
+from .superkmers import RangeHash, U, byte_values, classes, gather, runs, shared, sliding_argmin, sort_rows
 
 #: Words of the grams from which minimisers are chosen.
 GRAM = 4
@@ -78,7 +78,8 @@ class Segments:
         self.start, count, anchor, key, content = segments(word_hashes(chunk.data, self.word_start, self.word_end), self.rows, length)
         row = np.searchsorted(self.rows, self.start, "right") - 1
         self.ids, self.pos = chunk.ids[row], self.start - self.rows[row]
-        _, first, of = np.unique(content, return_index=True, return_inverse=True)
+        exact = pc.dictionary_encode(words_array(chunk.data, self.word_start, self.word_end)).indices.to_numpy()
+        first, of = classes(content, exact, self.start, count + length - 1)
         order = np.argsort(first)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -110,18 +111,18 @@ def anchors(length: int):
     return keys
 
 
-def emitter(length: int, buckets: int):
-    def emit(chunk: C.Chunk, answers: list[bytes]):
-        s = Segments(chunk, length)
-        some = np.flatnonzero(may_repeat(s, answers, buckets))
-
-        def write(k):
-            k = some[k]
-            words = gather(s.start[s.first[k]], s.count[k] + length - 1)
-            body = joined(chunk.data, s.word_start[words], s.word_end[words])
-            return C.packed(k.astype(np.uint32), s.count[k].astype(np.uint16), s.anchor[k].astype(np.uint16), s.low[k], s.low_pos[k].astype(np.uint32), (s.high[k] - s.low[k]).view(np.uint64), s.high_pos[k].astype(np.uint32), body)
+def emitter(length: int, n: int):
+    ranges = C.ranges_for(n)
 
-        return C.messages((s.key[some] % U(buckets)).astype(np.int64), write)
+    def emit(chunk: C.Chunk, answers: list[bytes]) -> C.Mail:
+        s = Segments(chunk, length)
+        k = np.flatnonzero(may_repeat(s, answers, n))
+        count = s.count[k] + length - 1
+        words = gather(s.start[s.first[k]], count)
+        body = joined(chunk.data, s.word_start[words], s.word_end[words])
+        size = np.add.reduceat(np.append(s.word_end[words] - s.word_start[words] + 1, 0), np.cumsum(count) - count) if len(k) else count
+        columns = [k.astype(np.uint32), byte_of(s.key[k]), s.count[k].astype(np.uint16), s.anchor[k].astype(np.uint16), s.low[k], s.low_pos[k].astype(np.uint32), (s.high[k] - s.low[k]).view(np.uint64), s.high_pos[k].astype(np.uint32)]
+        return C.Mail(C.range_of(s.key[k], ranges), columns, size, body)
 
     return emit
 
@@ -131,89 +132,93 @@ def before(a_id, a_pos, b_id, b_pos):
 
 
 def solver(length: int):
-    context = (length + GRAM) // 2
-
-    def solve(rows):
-        got = [(c, *C.unpacked(d)) for c, d in rows]
-        chunk = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
-        number, count, anchor, low, low_pos, span, high_pos, data = (np.concatenate([g[k] for g in got]) for k in range(1, 9))
-        del got
-        count, anchor, low_pos, high_pos = (x.astype(np.int64) for x in (count, anchor, low_pos, high_pos))
-        high = low + span.view(np.int64)
-        stop = np.flatnonzero(data == 0x20)
-        begin = np.concatenate(([0], stop[:-1] + 1))
-        words = pc.dictionary_encode(words_array(data, begin, stop)).indices.to_numpy().astype(np.int64)
-        del data, begin, stop
-        size = count + length - 1
-        start = np.cumsum(size) - size
-        h = RangeHash(C.mix((words + 1).astype(np.uint64)))
-        _, first, of = np.unique(h.of(start, start + size), return_index=True, return_inverse=True)
-        n = np.bincount(of, minlength=len(first))
-        by = np.lexsort((low_pos, low, of))
-        least = by[np.cumsum(n) - n]
-        by = np.lexsort((high_pos, high, of))
-        most = by[np.cumsum(n) - 1]
-        c_low, c_low_pos, c_high, c_high_pos = low[least], low_pos[least], high[most], high_pos[most]
-        c_start, c_size, c_anchor, c_count = start[first], size[first], anchor[first], count[first]
-        a = c_start + c_anchor
-        mate = np.zeros(len(first), bool)
-        half = context - GRAM
-        for has, lo, hi in ((c_anchor >= half, a - half, a + GRAM), (c_anchor + context <= c_size, a, a + context)):
-            k = np.flatnonzero(has)
-            mate[k] |= shared(h.of(lo[k], hi[k]))
-        # No window occurs twice inside one string: equal windows have their minimiser at the same offset.
-        base = np.cumsum(c_count) - c_count
-        string = np.repeat(np.arange(len(first)), c_count)
-        offset = np.arange(len(string)) - base[string]
-        m_id, m_pos = c_low[string], c_low_pos[string] + offset
-        k = np.flatnonzero(mate[string])
-        if len(k):
-            place = c_start[string[k]] + offset[k]
-            padded = np.append(words, -1)
-
-            def word(j, rows):
-                p = place[rows] + 2 * j
-                second = np.where(2 * j + 1 < length, padded[np.minimum(p + 1, len(words))], -1)
-                return ((words[p] + 1).astype(np.uint64) << U(32)) | (second + 1).astype(np.uint64)
-
-            order, same = sort_rows(word, len(k), -(-length // 2))
-            group = np.cumsum(~same) - 1
-            w = k[order]
-            by = np.lexsort((m_pos[w], m_id[w], group))
-            head = by[np.flatnonzero(np.diff(np.concatenate(([-1], group[by]))))]
-            f_id, f_pos = m_id[w[head]], m_pos[w[head]]
-            m_id[w], m_pos[w] = f_id[group], f_pos[group]
-        # Runs of windows whose first occurrences run along with them.
-        lead = m_pos - offset
-        new = np.ones(len(string), bool)
-        new[1:] = (string[1:] != string[:-1]) | (m_id[1:] != m_id[:-1]) | (lead[1:] != lead[:-1])
-        r = np.flatnonzero(new)
-        r_size = np.diff(np.append(r, len(string)))
-        real = before(m_id[r], lead[r], c_high[string[r]], c_high_pos[string[r]])
-        r, r_size = r[real], r_size[real]
-        per = np.bincount(string[r], minlength=len(first))
-        r_first = np.cumsum(per) - per
-        copies = np.flatnonzero(per[of] > 0)
-        pick = gather(r_first[of[copies]], per[of[copies]])
-        copy = np.repeat(copies, per[of[copies]])
-        need = before(m_id[r[pick]], lead[r[pick]], high[copy], high_pos[copy])
-        pick, copy = pick[need], copy[need]
-        targets, blobs = C.messages(chunk[copy], lambda p: C.packed(number[copy[p]], offset[r[pick[p]]].astype(np.uint16), r_size[pick[p]].astype(np.uint16), m_id[r[pick[p]]], lead[r[pick[p]]]))
-        return list(zip(targets, blobs))
+    def solve(sent: C.Records) -> C.Mail:
+        found = [repeats_among(r, length) for r in sent.parts(sent.columns[1], len(sent.body), PART)]
+        to, *columns = (np.concatenate(x) for x in zip(*found))
+        return C.Mail(to, columns)
 
     return solve
 
 
+def repeats_among(sent: C.Records, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that occur earlier, for each chunk that sent them: chunk, string, first window, windows, first id, lead of its position."""
+    context = (length + GRAM) // 2
+    chunk, data = sent.of, sent.body
+    number, _, count, anchor, low, low_pos, span, high_pos = sent.columns
+    count, anchor, low_pos, high_pos = (x.astype(np.int64) for x in (count, anchor, low_pos, high_pos))
+    high = low + span.view(np.int64)
+    stop = np.flatnonzero(data == 0x20)
+    begin = np.concatenate(([0], stop[:-1] + 1))
+    words = pc.dictionary_encode(words_array(data, begin, stop)).indices.to_numpy().astype(np.int64)
+    del data, begin, stop
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    h = RangeHash(C.mix((words + 1).astype(np.uint64)))
+    first, of = classes(h.of(start, start + size), words, start, size)
+    n = np.bincount(of, minlength=len(first))
+    by = np.lexsort((low_pos, low, of))
+    least = by[np.cumsum(n) - n]
+    by = np.lexsort((high_pos, high, of))
+    most = by[np.cumsum(n) - 1]
+    c_low, c_low_pos, c_high, c_high_pos = low[least], low_pos[least], high[most], high_pos[most]
+    c_start, c_size, c_anchor, c_count = start[first], size[first], anchor[first], count[first]
+    a = c_start + c_anchor
+    mate = np.zeros(len(first), bool)
+    half = context - GRAM
+    for has, lo, hi in ((c_anchor >= half, a - half, a + GRAM), (c_anchor + context <= c_size, a, a + context)):
+        k = np.flatnonzero(has)
+        mate[k] |= shared(h.of(lo[k], hi[k]))
+    # No window occurs twice inside one string: equal windows have their minimiser at the same offset.
+    base = np.cumsum(c_count) - c_count
+    string = np.repeat(np.arange(len(first)), c_count)
+    offset = np.arange(len(string)) - base[string]
+    m_id, m_pos = c_low[string], c_low_pos[string] + offset
+    k = np.flatnonzero(mate[string])
+    if len(k):
+        place = c_start[string[k]] + offset[k]
+        padded = np.append(words, -1)
+
+        def word(j, rows):
+            p = place[rows] + 2 * j
+            second = np.where(2 * j + 1 < length, padded[np.minimum(p + 1, len(words))], -1)
+            return ((words[p] + 1).astype(np.uint64) << U(32)) | (second + 1).astype(np.uint64)
+
+        order, same = sort_rows(word, len(k), -(-length // 2))
+        group = np.cumsum(~same) - 1
+        w = k[order]
+        by = np.lexsort((m_pos[w], m_id[w], group))
+        head = by[np.flatnonzero(np.diff(np.concatenate(([-1], group[by]))))]
+        f_id, f_pos = m_id[w[head]], m_pos[w[head]]
+        m_id[w], m_pos[w] = f_id[group], f_pos[group]
+    # Runs of windows whose first occurrences run along with them.
+    lead = m_pos - offset
+    new = np.ones(len(string), bool)
+    new[1:] = (string[1:] != string[:-1]) | (m_id[1:] != m_id[:-1]) | (lead[1:] != lead[:-1])
+    r = np.flatnonzero(new)
+    r_size = np.diff(np.append(r, len(string)))
+    real = before(m_id[r], lead[r], c_high[string[r]], c_high_pos[string[r]])
+    r, r_size = r[real], r_size[real]
+    per = np.bincount(string[r], minlength=len(first))
+    r_first = np.cumsum(per) - per
+    copies = np.flatnonzero(per[of] > 0)
+    pick = gather(r_first[of[copies]], per[of[copies]])
+    copy = np.repeat(copies, per[of[copies]])
+    need = before(m_id[r[pick]], lead[r[pick]], high[copy], high_pos[copy])
+    pick, copy = pick[need], copy[need]
+    return chunk[copy], number[copy], offset[r[pick]].astype(np.uint16), r_size[pick].astype(np.uint16), m_id[r[pick]], lead[r[pick]]
+
+
 def applier(length: int, with_text: bool):
     def act(chunk: C.Chunk, replies: list[bytes]) -> pa.Table:
-        if replies:
+        found = C.opened(replies)
+        if found:
             s = Segments(chunk, length)
             start, end, rows = s.word_start, s.word_end, s.rows
         else:
             start, end, rows = split_words(chunk.data, chunk.offsets, SPACE_WORDS)
         change = np.zeros(len(start) + 1, np.int64)
-        if replies:
-            number, at, windows, m_id, lead = (np.concatenate(x) for x in zip(*map(C.unpacked, replies)))
+        if found:
+            number, at, windows, m_id, lead = found.columns
             number = number.astype(np.int64)
             by = np.argsort(s.of, kind="stable")
             per = np.bincount(s.of, minlength=len(s.first))
@@ -249,7 +254,7 @@ def remove_windows(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
-    common = C.common_keys(parts, anchors(length), C.BUCKETS * n)
-    answers = C.solve(C.emit_with(parts, common, emitter(length, C.BUCKETS * n)), solver(length))
+    common, ranges = C.common_keys(parts, anchors(length), n), C.ranges_for(n)
+    answers = C.solve(C.emit_with(parts, common, emitter(length, n), n, ranges), solver(length), ranges, n)
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_words long, n_removed long, {'kept binary' if with_text else 'kept_sha256 string'}")
     return out.withColumnRenamed("id", id_col)

@@ -83,6 +83,25 @@ def gather(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
+def classes(hashes: np.ndarray, values: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each class of equal ranges, and each range's class.
+
+    Ranges of one hash are compared value by value, so the classes are exact; should ranges of
+    one hash differ, all are told apart by their values.
+    """
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[of]
+    rows = np.flatnonzero(like != np.arange(len(like)))
+    for at in range(0, len(rows), block):
+        a = rows[at : at + block]
+        b, n = like[a], size[a]
+        if (n != size[b]).any() or (values[gather(start[a], n)] != values[gather(start[b], n)]).any():
+            seen: dict[bytes, int] = {}
+            of = np.array([seen.setdefault(values[s : s + z].tobytes(), len(seen)) for s, z in zip(start.tolist(), size.tolist())], np.int64)
+            return np.unique(of, return_index=True)[1], of
+    return first, of
+
+
 def sort_rows(word, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by their words, most significant first, and whether each sorted row equals the one before.
 
