@@ -1,8 +1,12 @@
-"""Operator 9: byte-level BPE encoding and decoding.
+"""Operator 9: byte-level BPE encoding and decoding by tree concatenation.
 
-Text is cut at special strings and by the pre-tokenizer's pattern. Pieces up to
-``LONG`` bytes are merged directly; a longer piece (a long run without a split)
-goes through tree concatenation (``Vocabulary.encode_tree``).
+A text is cut into leaves wherever that falls. All leaves of a batch are encoded apart: each
+is cut into pieces by the pre-tokenizer's pattern, and the distinct pieces of all leaves are
+merged in lockstep. Neighbouring leaves are then joined, level by level: a window of pieces
+round the join is cut anew and grows until its first and its last piece are those that the
+sides had. Both sides then agree: the pattern looks only forward, so what follows a piece's
+start does not depend on what was before it. Long pieces, in themselves unsplit, are joined in
+the same way from tokens (``Vocabulary.encode_many``).
 
 Null text counts as empty: no ids. Invalid UTF-8 is read with U+FFFD in place of
 each ill-formed part. Rows are independent, so repeated rows and ids, null ids,
@@ -22,36 +26,60 @@ from .columns import narrow, slices
 
 #: The pre-tokenizer's pattern (fixed value), white space by its Unicode property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Bytes from which a piece is encoded by halves.
-LONG = 64
-#: Pieces remembered by a worker; the memory is emptied when full.
+#: Characters of a leaf.
+LEAF = 1024
+#: Pieces remembered by a worker between batches; the memory is emptied when full.
 REMEMBERED = 400_000
+#: Characters of the longest piece that is remembered.
+SHORT = 64
 
 
-class Codec(dict):
-    """Maps a piece to its ids as little-endian 32-bit bytes; filled as pieces are met."""
+class Codec:
+    """Encodes batches of texts; ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.vocab, self.remembered = vocabulary(path), remembered
         self.find = regex.compile(PIECES).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.vocab.special)) + ")") if self.vocab.special else None
         self.token = [self.vocab.bytes_of.get(i, b"") for i in range(max(self.vocab.bytes_of) + 1)]
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = self.vocab.encode_tree(raw) if len(raw) > LONG else self.vocab.encode(raw)
-        out = np.array(ids, "<u4").tobytes()
-        if len(raw) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, text: str, leaf: int = LEAF) -> list[str]:
+        """The pieces of a text, from those of its leaves."""
+        level = [self.find(text[k : k + leaf]) for k in range(0, len(text), leaf)]
+        while len(level) > 1:
+            level = [self.joined(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0] if level else []
+
+    def joined(self, left: list[str], right: list[str]) -> list[str]:
+        width = 2
+        while True:
+            new = self.find("".join(left[-width:] + right[:width]))
+            if (len(left) <= width or new[0] == left[-width]) and (len(right) <= width or new[-1] == right[width - 1]):
+                left[-width:] = new
+                left += right[width:]
+                return left
+            width *= 2
+
+    def encode_all(self, texts: list[str], leaf: int = LEAF) -> list[bytes]:
+        split = [self.special.split(t) if self.special and any(s in t for s in self.vocab.special) else [t] for t in texts]
+        cut = [[[p] if k % 2 else self.pieces(p, leaf) for k, p in enumerate(parts)] for parts in split]
+        met: set[str] = set()
+        met.update(*(pieces for parts in cut for pieces in parts[::2]))
+        new = list(met - self.known.keys())
+        if len(self.known) + len(new) > self.remembered:
+            self.known.clear()
+            new = list(met)
+        self.known.update((p, x.astype("<u4").tobytes()) for p, x in zip(new, self.vocab.encode_many([p.encode() for p in new])))
+        special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocab.special.items()}
+        out = [b"".join(b"".join(map((special if k % 2 else self.known).__getitem__, pieces)) for k, pieces in enumerate(parts)) for parts in cut]
+        for p in new:
+            if len(p) > SHORT:
+                del self.known[p]
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.special is None or not any(s in text for s in self.vocab.special):
-            return b"".join(map(self.__getitem__, self.find(text)))
-        parts = self.special.split(text)
-        return b"".join(np.array([self.vocab.special[p]], "<u4").tobytes() if k % 2 else b"".join(map(self.__getitem__, self.find(p))) for k, p in enumerate(parts))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -82,7 +110,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for part in slices(batch):
                 texts = [(b or b"").decode("utf-8", "replace") for b in part.column(1).to_pylist()]
-                coded = [c.encode(t) for t in texts]
+                coded = c.encode_all(texts)
                 back = [c.decode(x) for x in coded]
                 n = pa.array([len(x) // 4 for x in coded], pa.int64())
                 if with_text:
