@@ -7,12 +7,17 @@ Two deterministic transducers do the counting.
    is cut into chunks that are read in lockstep from *every* state, which gives each
    chunk's state map; the maps compose by a parallel prefix scan (doubling), and
    with its true first state known each chunk then marks its piece starts.
-2. The piece transducer reads bytes. A state stands for the piece read so far;
-   each transition is annotated with the number of tokens it adds, and leaving a
-   piece with that of its last byte, whose symbol carries the end-of-word mark. The
-   count at a state follows from those before: the last token is the one suffix
-   that is compatible with the last token in front of it. States are compiled when
-   first needed and kept up to a bound.
+2. The piece transducer reads bytes, the last one of a piece as a symbol of its own. Each
+   transition is annotated with the number of tokens it adds (which may be negative: a byte
+   can turn two tokens into one). A state is what later tokens can depend on: the ends of
+   what was read that begin some token, with the token before each and the count there
+   less the count now. There are finitely many, whatever the length of a piece: ends
+   that begin no token are forgotten. Transitions are compiled when first met.
+
+   The bytes of all pieces are cut into chunks too. A chunk's map with its count is constant
+   but for its head, the bytes up to the end of the piece that is open where it begins: all
+   rests are read in lockstep from the start state, then all heads from the state in which the
+   chunk before ends. A chunk that is all head passes its state on, in further rounds.
 
 Null text counts as empty: no tokens. Invalid UTF-8 is read with U+FFFD. Rows are
 independent (repeats, null ids and further columns change nothing); no shuffle.
@@ -26,13 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, vocabulary
-from .columns import narrow, slices, words_array
+from .columns import narrow, slices
+from .superkmers import gather
 
 # Classes: the letters that can follow an apostrophe in a contraction stand alone.
 SPACE, LETTER, NUMBER, OTHER, QUOTE, S, T, M, D, R, V, L, E = range(13)
@@ -125,17 +130,61 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(marks.T).ravel()[:n]
 
 
+BYTES = [bytes([b]) for b in range(256)]
+
+
+class Transitions:
+    """(state, symbol) -> (state, tokens added) as arrays: a hash table that is read for many keys at once."""
+
+    def __init__(self, bits: int = 18):
+        self.clear(bits)
+
+    def clear(self, bits: int):
+        self.bits, self.used = bits, 0
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.to, self.add = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int16)
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place it would take."""
+        mask = (1 << self.bits) - 1
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.key[at]
+        off = np.flatnonzero((there != key) & (there >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & mask
+            there = self.key[at[off]]
+            off = off[(there != key[off]) & (there >= 0)]
+        return at
+
+    def put(self, key: np.ndarray, to: np.ndarray, add: np.ndarray):
+        """Adds distinct new keys."""
+        if 2 * (self.used + len(key)) >= 1 << self.bits:
+            old = np.flatnonzero(self.key >= 0)
+            held = self.key[old], self.to[old], self.add[old]
+            self.clear((2 * (self.used + len(key))).bit_length() + 1)
+            self.put(*held)
+        self.used += len(key)
+        while len(key):
+            at = self.place(key)
+            first = np.unique(at, return_index=True)[1]  # of keys that would take one place, one does
+            self.key[at[first]], self.to[at[first]], self.add[at[first]] = key[first], to[first], add[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, to, add = key[rest], to[rest], add[rest]
+
+
 class PieceTransducer:
-    """Counts of pieces by transitions that carry token counts; compiled lazily."""
+    """Counts of pieces by transitions that carry token counts."""
 
-    KEPT = 600_000
+    #: Transitions kept between batches; beyond that all are compiled anew.
+    KEPT = 1 << 20
+    #: Bytes of a chunk.
+    CHUNK = 256
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.split = {new: pair for pair, new in sorted(vocab.into.items(), key=lambda x: -vocab.rank[x[0]])}
         self.made = {new: vocab.rank[pair] for new, pair in sorted(self.split.items())}
-        self.inner: dict[bytes, int] = {}
-        self.final: dict[bytes, int] = {}
         inner_ids, final_ids = set(vocab.inner), set(vocab.final)
         for new in sorted(self.made, key=self.made.get):
             a, b = self.split[new]
@@ -145,14 +194,17 @@ class PieceTransducer:
                 final_ids.add(new)
         self.inner = {vocab.bytes_of[i]: i for i in inner_ids}
         self.final = {vocab.bytes_of[i]: i for i in final_ids}
-        self.longest = max(map(len, self.inner | self.final))
+        #: What begins a token and is not all of it.
+        self.begins = {t[:n] for t in self.inner | self.final for n in range(len(t))}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.table = Transitions()
         self.clear()
 
     def clear(self):
-        self.go: dict[int, int] = {}  # (state << 8 | byte) -> state
-        self.last, self.count, self.back = [-1], [0], [-1]
-        self.done: dict[bytes, int] = {b"": 0}
+        #: State 0 has read nothing: one end, empty, with no token before it.
+        self.states: list[tuple[tuple[bytes, int, int], ...]] = [((b"", -1, 0),)]
+        self.number = {self.states[0]: 0}
+        self.table.clear(18)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both together leaves exactly these two tokens.
@@ -177,46 +229,83 @@ class PieceTransducer:
                     break
                 if rx > ry:
                     limit, x = rx, self.split[x][1]
-                elif ry > rx:
-                    # Of equal ranks the left place merges first.
-                    limit, y = ry + 1, self.split[y][0]
-                else:
+                else:  # of equal ranks the left place merges first
                     limit, y = ry + 1, self.split[y][0]
             self.fits[key] = known
         return known
 
-    def compile(self, state: int, path: list[int], piece: bytes, n: int, tokens: dict[bytes, int]) -> tuple[int, int]:
-        """Last token and count of ``piece[:n]``; ``path[k]`` is the state after k bytes."""
-        for size in range(min(self.longest, n), 0, -1):
-            t = tokens.get(piece[n - size : n])
-            if t is not None:
-                before = path[n - size]
-                if before == 0 or self.compatible(self.last[before], t):
-                    return t, self.count[before] + 1
-        raise ValueError("no token covers a byte")
+    def compile(self, key: int) -> tuple[int, int]:
+        """The transition of a state by a byte; symbols from 256 on are last bytes, which lead to state 0."""
+        ends, symbol = self.states[key >> 9], key & 511
+        byte, tokens = BYTES[symbol & 255], self.final if symbol > 255 else self.inner
+        longer = [(end + byte, before, count) for end, before, count in ends]
+        # The longest token that goes with the one before it; a byte alone is a token, so there is one.
+        for end, before, count in longer:
+            last = tokens.get(end)
+            if last is not None and (before < 0 or self.compatible(before, last)):
+                break
+        add = count + 1
+        if symbol > 255:
+            return 0, add
+        begins = self.begins
+        new = (*[(end, before, count - add) for end, before, count in longer if end in begins], (b"", last, 0))
+        to = self.number.setdefault(new, len(self.states))
+        if to == len(self.states):
+            self.states.append(new)
+        return to, add
+
+    def step(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.table.place(key)
+        new = np.flatnonzero(self.table.key[at] < 0)
+        if len(new):
+            keys = np.unique(key[new])
+            to, add = zip(*map(self.compile, keys.tolist()))
+            self.table.put(keys, np.array(to, np.int32), np.array(add, np.int16))
+            at = self.table.place(key)
+        return self.table.to[at], self.table.add[at]
+
+    def read(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, state: np.ndarray, added: np.ndarray) -> np.ndarray:
+        """Reads ranges of symbols in lockstep, each from its state; notes what each symbol adds and returns the states at the ends."""
+        order = np.argsort(-size, kind="stable")
+        at, state, shrinking = first[order], state[order].astype(np.int64), -size[order]
+        for j in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(shrinking, -j, "left"))
+            place = at[:n] + j
+            state[:n], added[place] = self.step(state[:n] << 9 | symbols[place])
+        out = np.empty(len(order), np.int64)
+        out[order] = state
+        return out
+
+    def counts(self, symbols: np.ndarray) -> np.ndarray:
+        """Tokens that each symbol adds, over whole pieces one after the other."""
+        if self.table.used > self.KEPT:
+            self.clear()
+        added = np.zeros(len(symbols), np.int16)
+        first = np.arange(0, len(symbols), self.CHUNK)
+        size = np.minimum(self.CHUNK, len(symbols) - first)
+        last = np.flatnonzero(symbols > 255)
+        # A chunk's head ends with the first last byte in it.
+        end = np.append(last, len(symbols))[np.searchsorted(last, first)] + 1
+        head = np.minimum(end - first, size)
+        constant = end <= first + size
+        after = np.zeros(len(first), np.int64)
+        after[constant] = self.read(symbols, (first + head)[constant], (size - head)[constant], np.zeros(int(constant.sum()), np.int64), added)
+        before = np.concatenate(([0], after[:-1]))
+        # Heads whose chunk before is settled, round by round (one round unless a piece fills whole chunks).
+        open_, settled = np.arange(len(first)), np.concatenate(([True], constant[:-1]))
+        while len(open_):
+            now = open_[settled[open_]]
+            state = self.read(symbols, first[now], head[now], before[now], added)
+            through = ~constant[now] & (now + 1 < len(first))
+            before[now[through] + 1], settled[now[through] + 1] = state[through], True
+            open_ = open_[~np.isin(open_, now)]
+        return added
 
     def tokens(self, piece: bytes) -> int:
-        """Sum of the counts on the transitions that the piece takes."""
-        known = self.done.get(piece)
-        if known is not None:
-            return known
-        if len(self.last) + len(self.done) > self.KEPT:
-            self.clear()
-        state, path = 0, [0]
-        for n, b in enumerate(piece[:-1], 1):
-            to = self.go.get(state << 8 | b)
-            if to is None:
-                last, count = self.compile(state, path, piece, n, self.inner)
-                to = len(self.last)
-                self.last.append(last)
-                self.count.append(count)
-                self.go[state << 8 | b] = to
-            state = to
-            path.append(state)
-        known = self.compile(state, path, piece, len(piece), self.final)[1]
-        if len(piece) <= 64:
-            self.done[piece] = known
-        return known
+        """Tokens of one piece."""
+        symbols = np.frombuffer(piece, np.uint8).astype(np.int64)
+        symbols[-1:] += 256
+        return int(self.counts(symbols).sum())
 
 
 class Counter:
@@ -261,8 +350,11 @@ class Counter:
             return total
         gaps = np.append(np.flatnonzero(~solid), len(code))
         end = np.minimum(np.append(at[1:], len(code)), gaps[np.searchsorted(gaps, at)])
-        coded = pc.dictionary_encode(words_array(data, lead[at], lead[end]))
-        each = np.array([self.pieces.tokens(p) for p in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        begin, stop = lead[at], lead[end]
+        symbols = data[gather(begin, stop - begin)].astype(np.int64)
+        close = np.cumsum(stop - begin)
+        symbols[close - 1] += 256
+        each = np.add.reduceat(self.pieces.counts(symbols).astype(np.int64), close - (stop - begin))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         total += np.bincount(owner[np.searchsorted(np.cumsum(sizes), at, "right")], each, len(texts)).astype(np.int64)
         return total
