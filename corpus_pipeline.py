@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe_codec, decontaminate, jaccard, quality, suffix_dedup
 from palimpsest.llm.queries import read, tokenizer
+from palimpsest.llm.shared import remove, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +55,29 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Folders of runs in this session whose result may still be read.
+_FOLDERS: list[str] = []
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; rows between stages stay in the shared checkpoint folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``.
+
+    A stage's rows go once the next stage's are written; those that the result is read from stay
+    in the shared folder until ``clean``.
+    """
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, done = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove(spark, done)
+        done = f"{folder}/{name}"
+    _FOLDERS.append(folder)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this session's runs left in the shared folder; their results cannot be read afterwards."""
+    while _FOLDERS:
+        remove(spark, _FOLDERS.pop())

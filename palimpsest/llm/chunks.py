@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .columns import body_buffers, narrow
 from .superkmers import gather
@@ -122,7 +123,12 @@ class Chunk:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Rows (chunk, data) of compressed documents, and the number of chunks."""
+    """Rows (chunk, data) of compressed documents, and the number of chunks.
+
+    Ids must be of an integer type, as documents are ordered by them; others raise a TypeError.
+    """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, not {docs.schema[id_col].dataType.simpleString()}")
     n = max(1, -(-text_volume(docs, text_col) // chunk_bytes))
 
     def run(batches):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, root) for every node of an edge; root is the component's smallest node.
@@ -14,7 +16,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     star a component. The minimum is pre-aggregated before each shuffle, and each round's
     edges are cut off by a checkpoint in the shared folder. Nulls and loops are ignored.
     """
-    now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct().checkpoint()
+    now = kept(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +25,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Edges now point from the smaller node u to v; v links all its smaller neighbours to the least.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u < v").distinct()
-        now = small.checkpoint()
+        now = kept(small)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if tuple(seen) == mark:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

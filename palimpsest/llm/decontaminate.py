@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import ALNUM_WORDS, ASCII_LOWER, body_buffers, narrow, slices, split_words, words_array
+from .shared import kept
 
 SHINGLE = 3
 _BITS = 21
@@ -161,7 +162,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         sent = spark.sparkContext.broadcast((block.words, block.prefix, block.at, block.entry, block.sizes, block.first, block.flat, block.owners, block.items))
         found = matches(found, sent, sizes)
         if k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and k + 1 < len(parts):
-            found = found.checkpoint()
+            found = kept(found)
     first = F.col("row") if columns else F.col("id").alias(id_col)
     return found.select(first, "n_words", "spans", "items")
 

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Pages of a host that one task compares in any case.
 GROUP = 48
 #: A host with more pages than a partition's share divided by this is counted by all tasks.
@@ -386,7 +388,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     texts = near.mapInArrow(by_host, out)
     if hot:
         some = rows.join(names, "host", "left_semi").select("id", "url", "html", "host")
-        outlines = some.select("html", "host").mapInArrow(outlined, "host string, number long, outline binary").dropDuplicates(["host", "number"]).checkpoint()
+        outlines = kept(some.select("html", "host").mapInArrow(outlined, "host string, number long, outline binary").dropDuplicates(["host", "number"]))
         sent = spark.sparkContext.broadcast(deduce(summed_by_spark(outlines)))
         texts = texts.union(some.mapInArrow(with_templates(sent), out))
     return texts.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -455,7 +457,7 @@ def summed_by_spark(outlines: DataFrame):
         columns = "".join(f", {x} long" for x in numbers)
         sums = outlines.select("host", "outline").mapInArrow(run, f"host string, shape string, key string{columns}").groupBy("host", "shape", "key").agg(*(F.sum(x).alias(x) for x in numbers))
         if count is token_counts:
-            sums = sums.checkpoint()
+            sums = kept(sums)
             pages.update(((r.host, r.shape), r.a) for r in sums.filter("key = 'n'").collect())
         known = F.broadcast(spark.createDataFrame([(*g, n) for g, n in pages.items()], "host string, shape string, pages long"))
         kind = F.substring("key", 1, 1)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import chunks as C
 from .columns import ASCII_LOWER, SPACE_WORDS, split_words
 from .components import connected_components
+from .shared import kept
 from .superkmer_dedup import word_hashes
 from .superkmers import RangeHash, U, gather
 
@@ -267,16 +268,16 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
         return C.tidy(out.append_column("chunk", pa.array([key[0].as_py()] * out.num_rows, pa.int64())))
 
     # The rows feed several plans below: written once to the shared folder, read from there.
-    rows = parts.groupBy("chunk").cogroup(counted.groupBy("at")).applyInArrow(with_chunk, "id long, node binary, n long, token long, chunk long").checkpoint()
+    rows = kept(parts.groupBy("chunk").cogroup(counted.groupBy("at")).applyInArrow(with_chunk, "id long, node binary, n long, token long, chunk long"))
     everyone = rows.filter("token is null").select("id", "node", "n")
     copies = everyone.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     entries = rows.filter("token is not null").select("token", "node", "n", "chunk")
     lead = entries.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("most")).filter("lead < most").select("token", "lead")
     cluster = connected_components(entries.join(lead, "token").filter("node <> lead").select("lead", "node"), "lead", "node")
-    sets = entries.groupBy("node").agg(F.min("chunk").alias("chunk"), F.max("n").alias("n")).join(cluster.withColumnRenamed("root", "cluster"), "node").join(copies.select("node", "copies"), "node").checkpoint()
+    sets = kept(entries.groupBy("node").agg(F.min("chunk").alias("chunk"), F.max("n").alias("n")).join(cluster.withColumnRenamed("root", "cluster"), "node").join(copies.select("node", "copies"), "node"))
     bodies = parts.groupBy("chunk").cogroup(sets.select("chunk", "node").groupBy("chunk")).applyInArrow(wanted_sets(size), "node binary, body binary")
     placed = tiles(sets, num, den).drop("chunk").join(bodies, "node")
-    linked = placed.groupBy("tile").applyInArrow(tiled(num, den), "node binary, other binary, links long").checkpoint()
+    linked = kept(placed.groupBy("tile").applyInArrow(tiled(num, den), "node binary, other binary, links long"))
     root = connected_components(linked.filter("node <> other"), "node", "other")
     first = root.join(copies, "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
     of_node = copies.join(root.join(first, "root").select("node", "class_id"), "node", "left").join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
@@ -287,13 +288,15 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_co
 def first_of_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their class.
 
-    Of rows with one id and text, one stays; an id is expected to stand for one text. Rows with
-    a null id stay, as they cannot be told apart.
+    Of rows with one id and text, one stays (any of them); rows with one id and different texts
+    are one document and stay together or go together. Rows with a null id stay, as they
+    cannot be told apart. Columns may have any names.
     """
     found = classes(docs, size, num, den, id_col, text_col)
-    later = found.filter(f"component_id < `{id_col}`").select(F.col(id_col).alias("_key"))
-    again = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again")
+    later = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
+    again = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("times")).filter("times > 1").select("again")
     if not again.isEmpty():  # else the texts need no further exchange
-        same = F.col(id_col) == F.col("_again")
-        docs = docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
-    return docs.join(later, F.col(id_col) == F.col("_key"), "left_anti")
+        same = F.col("row_id") == F.col("again")
+        rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["row_id", "row_text"]))
+    return rows.join(later, F.col("row_id") == F.col("key"), "left_anti").select("row.*")

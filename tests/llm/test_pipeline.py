@@ -1,3 +1,4 @@
+import os
 import random
 from hashlib import sha256
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import quality
+from palimpsest.llm import jaccard, quality, suffix_dedup
 
 from .helpers import prose
 from .test_decontaminate import brute as hits
@@ -16,7 +17,7 @@ tokenizers = pytest.importorskip("tokenizers")
 
 
 def cut(rows, length=50):
-    """Texts without strings that a smaller id holds; parts of characters go too."""
+    """Texts without strings that a smaller id holds; characters that are cut go whole."""
     first = {}
     for i, t in rows:
         b = (t or "").encode()
@@ -32,7 +33,8 @@ def cut(rows, length=50):
         for k in range(len(b) - length + 1):
             if first[b[k : k + length]] < i:
                 gone[k : k + length] = True
-        out.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t))
+        runs = np.split(np.arange(len(b)), np.flatnonzero(np.diff(gone.astype(int))) + 1)
+        out.append((i, "".join(b[r[0] : r[-1] + 1].decode("utf-8", "ignore") for r in runs if len(r) and not gone[r[0]]) if gone.any() else t))
     return out
 
 
@@ -97,3 +99,33 @@ def test_repeated_rows_and_replacement_characters(spark):
     assert sorted(((r.doc_id, r.text) for r in cut_rows), key=str) == sorted(want, key=str)
     first = corpus_pipeline.keep_first_of_near_copies(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in first), key=str) == sorted({x for x in rows if x[0] is not None} | set()) + [(None, "x")] * 2
+
+
+NAMES = ["doc_id", "text", "key", "_key", "_kept", "_again", "digest", "row", "row_id", "body", "kept", "again", "component_id", "n.chars"]
+
+
+def test_clashing_names_repeated_ids_and_empty_tables(spark):
+    long = prose(17, 40)
+    rows = [(1, long), (2, "a b c " + long), (2, "d e f " + long), (2, "d e f " + long), (2, None), (3, ""), (None, long), (4, "x " + long[: len(long) // 2] + "é" * 30)]
+    docs = spark.createDataFrame([(i, t, *["z"] * (len(NAMES) - 2)) for i, t in rows], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in NAMES))
+    out = suffix_dedup.without_repeats(docs)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    want = [x for x in cut([x for x in rows if x[0] is not None])] + [(None, long)]
+    assert out.columns == NAMES and got == sorted(((i, t, *["z"] * (len(NAMES) - 2)) for i, t in want), key=str)
+    first = jaccard.first_of_classes(docs)
+    assert first.columns == NAMES and sorted({(r.doc_id, r.text) for r in first.collect() if r.doc_id == 1 or r.doc_id is None}, key=str) == sorted([(1, long), (None, long)], key=str)
+    assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0 and jaccard.first_of_classes(docs.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        jaccard.classes(docs, id_col="key")
+
+
+def test_a_run_leaves_one_folder_until_it_is_cleaned(spark, tmp_path):
+    docs = spark.createDataFrame([(k, prose(k, 30), "en", "s", 5) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    folder = corpus_pipeline._FOLDERS[-1]
+    assert os.listdir(folder.removeprefix("file:")) == [corpus_pipeline.STAGES[-2][0]] and out.count() == 5
+    corpus_pipeline.clean(spark)
+    assert not os.path.exists(folder.removeprefix("file:"))
