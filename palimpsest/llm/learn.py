@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import ALNUM_WORDS, ASCII_LOWER, SPACE_WORDS, body_buffers, slices, split_words
+from .shared import kept
 from .superkmer_dedup import word_hashes
 
 #: Bytes whose shares are measured one by one.
@@ -70,11 +75,16 @@ def structure(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of packed features (a number and a count each) that a model learns from at most.
+FEATURE_BYTES = 64 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], rows: int, id_col: str, text_col: str, where=None) -> DataFrame:
     """At most ``rows`` labelled documents as (id, body, one int column a label), chosen by a hash of the id.
 
-    An id's labels are averaged and count as 1 from one half; rows without a label are not
-    used. The sample is bounded, so it may be joined by broadcast.
+    An id's labels are averaged and count as 1 from one half; rows without a label are not used.
+    Of repeated rows of an id the smallest text counts, once. The sample is bounded, so it may
+    be joined by broadcast.
     """
     known = labels.filter(F.col(id_col).isNotNull())
     if where is not None:
@@ -83,36 +93,71 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], r
         known = known.filter(F.col(c).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(*[(F.avg(c) >= 0.5).cast("int").alias(f"y{k}") for k, c in enumerate(label_cols)])
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("body")).join(F.broadcast(known), "_id")
-    return got.select(F.col("_id").alias("id"), "body", *[f"y{k}" for k in range(len(label_cols))])
+    names = [f"y{k}" for k in range(len(label_cols))]
+    got = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body")).join(F.broadcast(known), "_id")
+    return got.groupBy(F.col("_id").alias("id"), *names).agg(F.min("body").alias("body")).select("id", "body", *names)
 
 
-def collect_features(sample: DataFrame, features, n_labels: int, dense: int):
-    """Features of a bounded sample on the driver: (flat ids, cuts, dense rows, labels), in order of id.
+class Sample(NamedTuple):
+    """Features of labelled rows: flat numbers and counts, the rows' cuts, dense columns, labels."""
 
-    ``features(data, offsets)`` gives ids, cuts and dense rows; a row's ids are sent once each with a count.
-    """
-    fields = ", ".join(f"y{k} int" for k in range(n_labels))
+    ids: np.ndarray
+    counts: np.ndarray
+    cut: np.ndarray
+    dense: np.ndarray
+    y: np.ndarray
+
+
+def packs(features, n_labels: int):
+    """Rows (id, place, size, pack, labels..): each text's features, packed."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                ids, cut, stats = features(*body_buffers(part.column(1)))
-                packs = [np.unique(ids[a:b], return_counts=True) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                as_list = lambda arrays: pa.array([x.astype(np.int32).tolist() for x in arrays], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), as_list([p[0] for p in packs]), as_list([p[1] for p in packs]), pa.array(stats.tolist() if dense else [[]] * part.num_rows, pa.list_(pa.float64())), *part.columns[2:]], ["id", "ids", "counts", "stats", *[f"y{k}" for k in range(n_labels)]])
-
-    kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, ids array<int>, counts array<int>, stats array<double>, {fields}").toArrow()
-    if got.num_rows:
-        got = got.sort_by([("id", "ascending")])
-    lists = lambda name: got.column(name).combine_chunks()
-    flat = lists("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    counts = lists("counts").flatten().to_numpy(zero_copy_only=False).astype(np.float64) if got.num_rows else np.zeros(0)
-    cut = np.concatenate(([0], np.cumsum([len(x) for x in got.column("ids").to_pylist()]))).astype(np.int64)
-    stats = np.array(got.column("stats").to_pylist(), np.float64).reshape(got.num_rows, dense)
-    y = np.array([got.column(f"y{k}").to_pylist() for k in range(n_labels)], np.float64).T.reshape(got.num_rows, n_labels)
-    return flat, counts, cut, stats, y
+                ids, cut, dense = features(*body_buffers(part.column(1)))
+                blobs = []
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                    one, n = np.unique(ids[a:b], return_counts=True)
+                    blobs.append(np.int64(len(one)).tobytes() + one.astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + dense[k].astype(np.float64).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in blobs], pa.int64()), pa.array(blobs, pa.binary()), *part.columns[2:]], ["id", "size", "pack", *[f"y{k}" for k in range(n_labels)]])
+
+    return run
+
+
+def unpacked_sample(blobs: list[bytes], y: np.ndarray) -> Sample:
+    ids, counts, dense = [np.zeros(0, np.int64)], [np.zeros(0)], []
+    for b in blobs:
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        pair = np.frombuffer(b, np.int32, 2 * n, 8)
+        ids.append(pair[:n].astype(np.int64)), counts.append(pair[n:].astype(np.float64)), dense.append(np.frombuffer(b, np.float64, -1, 8 + 8 * n))
+    return Sample(np.concatenate(ids), np.concatenate(counts), np.cumsum([len(x) for x in ids]), np.array(dense, np.float64).reshape(len(blobs), -1), y)
+
+
+def learned(sample: DataFrame, features, n_labels: int, fit: Callable[[Sample], object], limit: int = FEATURE_BYTES):
+    """What ``fit`` makes of a bounded sample, learned in one task on an executor; None if there are no rows.
+
+    ``features(data, offsets)`` gives ids, cuts and dense rows. Rows are taken in order of the hash of
+    their id as long as their packed features make up ``limit`` bytes at most, so the task's input
+    and memory are bounded in rows and in bytes. Only row sizes and the model go to the driver.
+    """
+    kind, names = sample.schema["id"].dataType.simpleString(), [f"y{k}" for k in range(n_labels)]
+    rows = kept(sample.mapInArrow(packs(features, n_labels), f"id {kind}, size long, pack binary, {', '.join(f'{n} int' for n in names)}").withColumn("place", F.xxhash64("id")))
+    total, last = 0, None
+    for r in rows.select("place", "id", "size").orderBy("place", "id").collect():  # as many as the sample's rows
+        total += r["size"]
+        if total > limit and last is not None:
+            break
+        last = r
+    if last is None:
+        return None
+    chosen = rows.filter((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("id") <= F.lit(last.id)))
+
+    def run(table):
+        table = table.sort_by([("place", "ascending"), ("id", "ascending")])
+        y = np.array([table.column(n).to_pylist() for n in names], np.float64).T.reshape(table.num_rows, n_labels)
+        return pa.table([pa.array([pickle.dumps(fit(unpacked_sample(table.column("pack").to_pylist(), y)))], pa.binary())], ["model"])
+
+    return pickle.loads(bytes(chosen.groupBy(F.lit("all").alias("group")).applyInArrow(run, "model binary").first()[0]))
 
 
 def sigmoid(x):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import body_buffers, slices
-from .learn import STATS, collect_features, hashed_words, labelled_sample, row_sums, sigmoid, structure
+from .learn import STATS, hashed_words, labelled_sample, learned, row_sums, sigmoid, structure
 
 BITS, RANK = 16, 8
 #: A word's weight is this over the number of words of its text.
@@ -95,7 +95,8 @@ class Machine:
                 grad_i = np.concatenate(((g[own] * x)[:, None], (g[own] * x)[:, None] * (sums[own] - vx)), axis=1)
                 touched, inverse = np.unique(i, return_inverse=True)
                 grad = np.zeros((len(touched) + STATS, RANK + 1))
-                np.add.at(grad, inverse, grad_i)
+                for c in range(RANK + 1):
+                    grad[: len(touched), c] = np.bincount(inverse, grad_i[:, c], len(touched))
                 grad[len(touched) :, 0] = d.T @ g
                 grad[len(touched) :, 1:] = (d * g[:, None]).T @ sums - (d**2 * g[:, None]).sum(0)[:, None] * dense[:, 1:]
                 where = np.concatenate((touched, np.arange(base, base + STATS)))
@@ -124,8 +125,7 @@ def held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """Learns from at most ``rows`` labelled rows that are not held out."""
     sample = labelled_sample(docs, labels, [label_col], rows, id_col, text_col, ~held_out(id_col))
-    ids, counts, cut, stats, y = collect_features(sample, features, 1, STATS)
-    return Machine().fit(ids, counts, cut, stats, y[:, 0])
+    return learned(sample, features, 1, lambda s: Machine().fit(s.ids, s.counts, s.cut, s.dense, s.y[:, 0])) or Machine()
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", columns: bool = False) -> DataFrame:

@@ -3,10 +3,17 @@
 Categories are predicted one after the other. Each model is linear (logistic) over the
 words and word beginnings that occur in a text, hashed, and over the probabilities of all
 earlier categories. While learning, these come from models that have not seen the row
-(out-of-fold predictions); for scoring each category has one model of all rows.
+(out-of-fold predictions); for scoring each category has one model of all rows. A model
+first fits the links to earlier categories, then the words to what these leave open.
 
-The models are learned on the driver from at most ``rows`` labelled rows (a bound, not
-a share); every document is scored whole, with no shuffle.
+Where the table labels only ``toxic``, the earlier categories are learned from it: the toxic
+rows are clustered by the words that tell them from others (spherical k-means from fixed,
+farthest first seeds), each cluster is a kind of toxicity, and the chain predicts the kinds,
+largest first, then ``toxic``. With several label columns the chain follows these.
+
+The models are learned in one task from at most ``rows`` labelled rows with at most
+``learn.FEATURE_BYTES`` of features, each over at most ``CHOSEN`` features that tell most
+(bounds, not shares); every document is scored whole, with no shuffle.
 
 Null and empty texts hold no words: their probabilities are those of the bias, and they
 are never flagged. Without labelled rows nothing is flagged. Repeated rows have equal
@@ -21,19 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import body_buffers, slices
-from .learn import collect_features, hashed_words, labelled_sample, row_sums, sigmoid
+from .learn import Sample, hashed_words, labelled_sample, learned, row_sums, sigmoid
 
 BITS = 19
 PREFIXES = (4, 6)
 FOLDS = 3
-
-#: Seed words of the categories that the label table does not name (fixed values). A labelled
-#: row belongs to such a category if it is marked toxic and holds one of the seeds.
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "scum"),
-    "contempt": ("stupid", "worthless", "trash", "pathetic", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+#: Kinds of toxicity that are learned where the table names none.
+KINDS = 2
 
 
 def features(data, off):
@@ -47,8 +48,11 @@ class Linear:
     def __init__(self, dense: int):
         self.w, self.d, self.b = np.zeros(1 << BITS, np.float32), np.zeros(dense), -4.0
 
-    def fit(self, ids, cut, dense, y, epochs: int = 15, batch: int = 64, rate: float = 0.15, decay: float = 2e-5, seed: int = 5):
-        """Adagrad on mini-batches in a fixed random order, over the features that say something about ``y``."""
+    def fit(self, ids, cut, dense, y, epochs: int = 30, batch: int = 64, rate: float = 0.15, decay: float = 2e-5, seed: int = 5):
+        """First the links (dense columns) by Newton's method, then the words by Adagrad on mini-batches in a fixed random order.
+
+        The words are those that say something about ``y``; they learn what the links leave open.
+        """
         n = len(y)
         if not n or y.min() == y.max():
             self.b = -4.0 if not n or y[0] < 0.5 else 4.0
@@ -58,9 +62,9 @@ class Linear:
         ids = ids[keep]
         r = np.random.Generator(np.random.PCG64(seed))
         w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
-        d, gd = self.d, np.full(len(self.d), 1e-2)
         p = np.clip(y.mean(), 0.01, 0.99)
-        b, gb = float(np.log(p / (1 - p))), 1e-2
+        b, *d = newton(dense, y, float(np.log(p / (1 - p))))
+        d, gb = np.array(d), 1e-2
         for _ in range(epochs):
             order = r.permutation(n)
             for at in range(0, n, batch):
@@ -74,9 +78,6 @@ class Linear:
                 grad = np.bincount(inverse, g[own], len(touched)) + decay * w[touched]
                 gw[touched] += grad**2
                 w[touched] -= rate * grad / np.sqrt(gw[touched])
-                grad = dense[rows].T @ g
-                gd += grad**2
-                d -= rate * grad / np.sqrt(gd)
                 gb += g.sum() ** 2
                 b -= rate * g.sum() / np.sqrt(gb)
         w[np.abs(w) < 0.02] = 0
@@ -88,6 +89,19 @@ class Linear:
         return sigmoid(self.b + row_sums(self.w[ids].astype(np.float64), cut) + dense @ self.d)
 
 
+def newton(dense: np.ndarray, y: np.ndarray, b: float, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
+    """Bias and weights of a logistic model of a few columns, the weights with a small ridge."""
+    x = np.concatenate((np.ones((len(y), 1)), dense), axis=1)
+    t, keep = np.array([b, *np.zeros(dense.shape[1])]), ridge * np.diag([1e-3, *np.ones(dense.shape[1])])
+    for _ in range(rounds if dense.shape[1] else 0):
+        p = sigmoid(x @ t)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (p - y) + keep @ t)
+        t = t - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return t
+
+
 #: Features of one model at most, and the least chi-square of a feature against the label.
 CHOSEN, CHI_SQUARE = 2000, 15.0
 
@@ -144,19 +158,46 @@ class Chain:
         return past
 
 
-def seed_labels(sample: DataFrame) -> DataFrame:
-    """Adds the seeded categories in front of the table's own label ``y0`` (toxic)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("body").cast("string")), F.lit("([a-z]+)"), F.lit(1)))
-    marks = [((F.col("y0") == 1) & F.arrays_overlap(words, F.array(*map(F.lit, seeds)))).cast("int") for seeds in SEEDS.values()]
-    return sample.select("id", "body", *[F.coalesce(m, F.lit(0)).alias(f"y{k}") for k, m in enumerate(marks)], F.col("y0").alias(f"y{len(marks)}"))
+def kinds(ids: np.ndarray, cut: np.ndarray, y: np.ndarray, n: int = KINDS, rounds: int = 10) -> np.ndarray:
+    """Clusters of the rows marked in ``y``, one 0/1 column each, largest first; a row without telling words is in none."""
+    out = np.zeros((len(y), n))
+    if not len(y) or y.min() == y.max():
+        return out
+    columns = np.flatnonzero(telling(ids, np.repeat(y, np.diff(cut)), y))
+    rows = np.flatnonzero(y)
+    flat, c = rows_of(ids, cut, rows)
+    of = np.repeat(np.arange(len(rows)), np.diff(c))
+    at = np.minimum(np.searchsorted(columns, flat), max(len(columns) - 1, 0))
+    hit = columns[at] == flat if len(columns) else np.zeros(len(flat), bool)
+    x = np.zeros((len(rows), max(len(columns), 1)), np.float32)
+    x[of[hit], at[hit]] = 1
+    size = np.sqrt(x.sum(1))
+    x, rows = x[size > 0] / size[size > 0, None], rows[size > 0]
+    if len(rows) < n:
+        return out
+    centres = [x[0]]
+    while len(centres) < n:
+        centres.append(x[int(np.argmin(np.max(x @ np.array(centres).T, axis=1)))])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        part = np.argmax(x @ centres.T, axis=1)
+        sums = np.array([x[part == k].sum(0) for k in range(n)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    for place, k in enumerate(sorted(range(n), key=lambda k: (-int((part == k).sum()), k))):
+        out[rows[part == k], place] = 1
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] | None = None, where=None) -> Chain:
-    """Learns a chain of the given label columns in their order; by default ``CATEGORIES`` from one column ``toxic``."""
+    """Learns a chain of the given label columns in their order; by default kinds of toxicity, then ``toxic``."""
     sample = labelled_sample(docs, labels, list(label_cols or ["toxic"]), rows, id_col, text_col, where)
-    names = tuple(label_cols or CATEGORIES)
-    ids, _, cut, _, y = collect_features(sample if label_cols else seed_labels(sample), features, len(names), 0)
-    return Chain(names).fit(ids, cut, y)
+    names = tuple(label_cols or (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"))
+
+    def fit(s: Sample) -> Chain:
+        y = s.y if label_cols else np.concatenate((kinds(s.ids, s.cut, s.y[:, 0]), s.y), axis=1)
+        return Chain(names).fit(s.ids, s.cut, y)
+
+    return learned(sample, features, len(label_cols or ["toxic"]), fit) or Chain(names)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

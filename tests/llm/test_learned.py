@@ -84,11 +84,58 @@ def test_toxicity_chain(spark):
     rest = [(got[i].toxic, bool(t)) for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([a == b for a, b in rest]) > 0.95
     assert not any(got[1000 + i].toxic for i, _ in AWKWARD)
-    assert chain.names == ("insult", "contempt", "toxic") and [len(m.d) for m in chain.models] == [0, 1, 2]
+    assert chain.names == ("kind_1", "kind_2", "toxic") and [len(m.d) for m in chain.models] == [0, 1, 2]
     two = toxicity.train(docs, marks, rows=320, label_cols=("quality", "toxic"))
     assert set(toxicity.score(docs, two).columns) == {"doc_id", "p_quality", "p_toxic", "toxic"}
 
 
+def test_links_decide_held_out_rows(spark):
+    """Without the links to earlier categories the last model flags other rows."""
+    rows, labels = labelled()
+    docs = table(spark, rows)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, marks, where="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    rest = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    scores = lambda: {r.doc_id: (r.p_toxic, r.toxic) for r in toxicity.score(rest, chain).collect()}
+    linked = scores()
+    chain.models[-1].d = np.zeros_like(chain.models[-1].d)
+    cut = scores()
+    toxic = [i for i, _, t in labels if t and i in linked]
+    assert sum(linked[i][1] for i in toxic) > 0.9 * len(toxic)
+    assert any(linked[i][1] != cut[i][1] for i in linked) and np.mean([linked[i][0] - cut[i][0] for i in toxic]) > 0.1
+
+
+def test_kinds_are_clusters_of_telling_words():
+    r = np.random.Generator(np.random.PCG64(3))
+    rows, y, truth = [], [], []
+    for k in range(300):
+        words = list(r.integers(1000, 9000, 20))
+        kind = k % 4  # 0 and 1: two vocabularies; 2: toxic without any telling word; 3: clean
+        if kind < 2:
+            words += list(r.choice(np.arange(5) + 10 * kind, 3, replace=False))
+        rows.append(np.unique(words)), y.append(float(kind < 3)), truth.append(kind)
+    ids, cut = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    got, truth = toxicity.kinds(ids, cut, np.array(y)), np.array(truth)
+    one, two = (set(map(tuple, got[truth == k])) for k in (0, 1))
+    assert len(one) == len(two) == 1 and one != two and {sum(x) for x in one | two} == {1} and not got[truth > 1].any()
+    assert not toxicity.kinds(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0)).size
+
+
+def test_sample_is_bounded_in_bytes_and_one_row_an_id(spark):
+    from palimpsest.llm import learn
+
+    rows, labels = labelled()
+    docs = table(spark, rows + rows[:50] + [(3, "another")] * 40)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = learn.labelled_sample(docs, marks, ["toxic"], 100, "doc_id", "text")
+    assert sample.count() == 100 == sample.select("id").distinct().count()
+    shape = lambda s: (len(s.y), len(s.ids))
+    whole = learn.learned(sample, toxicity.features, 1, shape)
+    part = learn.learned(sample, toxicity.features, 1, shape, limit=20_000)
+    assert whole[0] == 100 and 0 < part[0] < 100 and 8 * part[1] <= 20_000
+    assert learn.learned(sample.limit(0), toxicity.features, 1, shape) is None
+
+
 def test_earlier_probabilities_come_out_of_fold():
     r = np.random.Generator(np.random.PCG64(2))
     n = 60
