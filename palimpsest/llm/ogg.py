@@ -5,9 +5,10 @@ any Ogg bytes: it finds pages, verifies their checksums, reassembles packets fro
 lacing values (also across pages), separates the logical streams by serial number
 and derives a time for each page from its granule position.
 
-Null bodies are read as empty. Damaged pages are left out and counted; a packet
-that had a part in one is dropped and counted, so the rest stays readable. Rows
-are independent: equal bytes give equal results, with no shuffle.
+Null bodies are read as empty. Damaged pages are left out and counted; pages that
+a stream's numbers show to be missing are counted, too (from its first page on, which has
+number 0); a packet that had a part in one is dropped and counted, so the rest stays
+readable. Rows are independent: equal bytes give equal results, with no shuffle.
 """
 
 from __future__ import annotations
@@ -92,9 +93,15 @@ class Logical:
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
     pages: int = 0
+    #: Pages left out by the numbering, and packets of which a part is gone.
+    missing: int = 0
     lost: int = 0
     ended: bool = False
 
+    @property
+    def whole(self) -> bool:
+        return self.ended and not self.missing and not self.lost
+
 
 @dataclass
 class Read:
@@ -119,7 +126,8 @@ def demux(data: bytes) -> Read:
             continue
         s = streams.setdefault(serial, Logical(serial))
         pages, s.pages = pages + 1, s.pages + 1
-        gap = number != expected.get(serial, number)
+        gap = (number - expected.get(serial, 0)) % (1 << 32)
+        s.missing += gap
         expected[serial] = number + 1
         part = open_part.pop(serial, None)
         if gap and part is not None:
@@ -168,21 +176,21 @@ def store(payload: bytes) -> bytes:
 def fetch(media: bytes) -> tuple[bytes, str]:
     """The samples of the sound stream and a line of features; raises ValueError if anything is damaged."""
     read = demux(media)
-    sound = next((s for s in read.streams.values() if s.packets and s.packets[0][:4] == SOUND), None)
-    if sound is None or read.bad_pages or any(s.lost or not s.ended for s in read.streams.values()):
+    named = {s.packets[0][:4]: s for s in read.streams.values() if s.packets}
+    sound, clock = named.get(SOUND), named.get(CLOCK)
+    if sound is None or clock is None or len(sound.packets[0]) < 11 or read.bad_pages or not all(s.whole for s in read.streams.values()):
         raise ValueError("damaged Ogg bytes")
     rate = struct.unpack_from("<I", sound.packets[0], 7)[0]
     payload = b"".join(sound.packets[1:])
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     last = max(sound.granules)
-    clock = next(s for s in read.streams.values() if s.packets[0][:4] == CLOCK)
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     feature = f"streams={len(read.streams)};pages={read.pages};packets={len(sound.packets) - 1};ticks={len(clock.packets) - 1};duration_us={last * 1000000 // rate};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max(initial=0))};crossings={crossings}"
     return payload, feature
 
 
 def pages_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """Packets of any column of Ogg bytes: id, serial, packet, size, granule (null: none), seconds, lost and bad page counts.
+    """Packets of any column of Ogg bytes: id, serial, packet, size, granule (null: none), seconds, and counts of lost packets, missing and bad pages.
 
     ``seconds`` needs the sound header's rate and is null for other streams.
     """
@@ -195,11 +203,11 @@ def pages_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 rows = []
                 for s in read.streams.values():
                     rate = struct.unpack_from("<I", s.packets[0], 7)[0] if s.packets and s.packets[0][:4] == SOUND and len(s.packets[0]) >= 11 else None
-                    rows += [(key, s.serial, k, len(p), None if g < 0 else g, g / rate if rate and g >= 0 else None, s.lost, read.bad_pages) for k, (p, g) in enumerate(zip(s.packets, s.granules))]
+                    rows += [(key, s.serial, k, len(p), None if g < 0 else g, g / rate if rate and g >= 0 else None, s.lost, s.missing, read.bad_pages) for k, (p, g) in enumerate(zip(s.packets, s.granules))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["id", "serial", "packet", "size", "granule", "seconds", "lost", "bad_pages"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32()))], ["id", "serial", "packet", "size", "granule", "seconds", "lost", "missing", "bad_pages"])
 
-    out = media.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("body")).mapInArrow(run, f"id {id_type}, serial long, packet int, size int, granule long, seconds double, lost int, bad_pages int")
+    out = media.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("body")).mapInArrow(run, f"id {id_type}, serial long, packet int, size int, granule long, seconds double, lost int, missing long, bad_pages int")
     return out.withColumnRenamed("id", id_col)
 
 

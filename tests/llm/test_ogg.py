@@ -48,6 +48,40 @@ def test_damage_is_found_and_the_rest_is_read():
     assert ogg.demux(b"").pages == 0 and ogg.demux(b"OggS").pages == 0
 
 
+def cut_pages(data):
+    """The pages one after the other, by their headers alone."""
+    at, out = 0, []
+    while at < len(data):
+        n = data[at + 26]
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        out.append(data[at:end])
+        at = end
+    return out
+
+
+def test_missing_pages_are_counted():
+    packets = [(b"head", 0)] + [(bytes([k % 251]) * 100, k) for k in range(600)]
+    pages = cut_pages(ogg.mux([ogg.Stream(1, packets)]))
+    assert len(pages) > 3
+    for k in range(len(pages)):
+        read = ogg.demux(b"".join(pages[:k] + pages[k + 1 :])).streams[1]
+        assert read.missing == (k < len(pages) - 1) and not read.whole and len(read.packets) < 601
+        assert all(p in [x for x, _ in packets] for p in read.packets)
+    media = ogg.store(b"x" * 64 * 2000)
+    pages = cut_pages(media)
+    assert ogg.fetch(media)[0] == b"x" * 64 * 2000
+    for k in range(len(pages)):
+        with pytest.raises(ValueError):
+            ogg.fetch(b"".join(pages[:k] + pages[k + 1 :]))
+
+
+def slow_feature(payload, media):
+    x = [b - 128 for b in payload]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    count = lambda n: -(-len(payload) // n)
+    return f"streams=2;pages={len(cut_pages(media))};packets={count(4000)};ticks={count(8000)};duration_us={len(payload) * 125};sum={sum(x)};energy={sum(v * v for v in x)};peak={max(map(abs, x))};crossings={crossings}"
+
+
 def test_documents(spark):
     rows = AWKWARD + [(40, "long " * 30000)]
     got = sorted(map(tuple, ogg.store_documents(table(spark, rows)).collect()), key=lambda r: (r[0], r[1]))
@@ -55,6 +89,7 @@ def test_documents(spark):
         raw = (t or "").encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert r[:5] == (i, len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r[7] == slow_feature(payload, bytes(r[8]))
         assert bytes(r[9]) == payload and r[6] == sha256(bytes(r[8])).hexdigest() and r[5] == len(r[8])
     media = ogg.store_documents(table(spark, rows))
     rows_of = ogg.pages_of(media, "doc_id", "media").filter("doc_id = 40").collect()
