@@ -1,7 +1,7 @@
 """Operator 8: main text of web pages by equivalence-class template deduction.
 
-All pages of one host are compared. A page is read as tokens: tags with the path
-of elements they stand in, and text between them. Tokens with the same occurrence
+All pages of one host are compared. A page is read as tokens, tags with the path
+of elements they stand in, and the texts between them. Tokens with the same occurrence
 vector (how often they occur in each page of the host that has its shape) form an equivalence class. A
 class is valid if its tokens keep one order in every page and each of its occurrences
 lies in one gap of the class around it; valid classes nest into a template whose root
@@ -12,7 +12,9 @@ and of the heaviest elements are the article, in page order. Bare text of an ele
 less than half of the heaviest one's is beside the article. The names article and main
 keep text that would be taken for such, and choose nothing else.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments are never text.
+adverts, forms, scripts, styles or reader comments are never text. Inside an article element
+only those elements, and blocks whose whole class or role says so, are left out: words
+within longer names, ids and the names of paragraphs and headings do not count there.
 
 All that a template needs are sums over pages. Hosts that hold more than a set share of all
 pages are counted where their pages are, partial sums are merged, and the one template of
@@ -45,16 +47,16 @@ GROUP = 48
 HOT_SHARE = 4
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-z][a-z0-9:-]*)([^>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAMES = re.compile(r"[a-z]+|\d+")
 
 #: Elements without content, elements that stand in a line of text, and which open elements an element ends (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font g i img ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder path q rp rt ruby s samp semantics small span strike strong sub sup svg text time tspan tt u var wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
@@ -62,6 +64,9 @@ SCOPE = frozenset("article aside body div footer form header html main nav ol se
 #: What is not an article, by element and by words of class, id and role (our choice).
 NOT_TEXT = frozenset("nav footer aside form menu dialog button select input object canvas audio video head".split())
 NOT_TEXT_WORDS = frozenset("nav navigation navbar menu sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay comment comments reply replies discussion breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget complementary contentinfo skip disclaimer gdpr".split())
+#: Whole classes and roles that are not an article's text inside an article element either, of blocks (our choice).
+NOT_TEXT_BLOCKS = frozenset("nav navigation navbar menu sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo cookie-notice cookie-banner comments comment-list breadcrumb breadcrumbs newsletter pagination share-buttons related-posts complementary contentinfo banner search".split())
+BLOCKS = frozenset("div section ul ol table dl details figure".split())
 HEADER_WORDS = frozenset(("header", "masthead", "topbar", "banner"))
 #: Elements that hold pieces of running text rather than all of it.
 FLOW = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote pre dd dt dl td th tr tbody table figure figcaption".split())
@@ -113,11 +118,16 @@ class Page:
             if self.stack[k][0] in SCOPE:
                 break
         found = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = set(NAMES.findall(" ".join(found.values()).lower()))
+        kinds = {x for a in ("class", "role") for x in found.get(a, "").lower().split()}
         inside = bool(self.stack) and self.stack[-1][3]
         out = bool(self.stack) and self.stack[-1][2]
         article = name in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        out = out or name in NOT_TEXT or bool(words & NOT_TEXT_WORDS) and name not in ("body", "html") or not inside and not article and (name == "header" or bool(words & HEADER_WORDS))
+        out = out or name in NOT_TEXT
+        if inside:
+            out = out or name in BLOCKS and bool(kinds & NOT_TEXT_BLOCKS)
+        elif name not in ("body", "html"):
+            words = set(NAMES.findall(" ".join(found.values()).lower()))
+            out = out or bool(words & NOT_TEXT_WORDS) or not article and (name == "header" or bool(words & HEADER_WORDS))
         signature = name + "".join(f".{w}" for w in sorted(found.get("class", "").split()) if sum(c.isdigit() for c in w) < 2) + (f"#{found['id']}" if found.get("id") and not any(c.isdigit() for c in found["id"]) else "")
         if name not in INLINE:
             self.tokens.append(self.where(signature))

@@ -66,6 +66,33 @@ def test_an_article_in_two_elements_is_whole():
     assert extract(pages) == [f"{prose(k, 4)} {prose(k + 40, 60)}" for k in range(12)]
 
 
+def neutral(k):
+    """No article element, no telling names: menu, notice, teasers and footer differ from the article by the template alone."""
+    body = [prose(k * 7 + j, 30) for j in range(3)]
+    page = f'<html><body><div class="a1"><p>Home Sections About us</p></div><div class="b2"><h1>Head {k}</h1>{"".join(f"<p>{x}</p>" for x in body)}<p>All rights with the house</p></div><div class="c3"><p>Open from nine to five</p></div></body></html>'
+    return page, " ".join([f"Head {k}", *body])
+
+
+def test_classes_decide_where_names_say_nothing(monkeypatch):
+    pages, texts = zip(*map(neutral, range(12)))
+    assert extract(list(pages)) == list(texts)
+    assert extract([pages[0]]) != [texts[0]]  # one page alone has no template
+    real = Template.choose
+    monkeypatch.setattr(Template, "choose", lambda self, counts: real(self, {k: v for k, v in counts.items() if k[0] != "x"}))
+    assert extract(list(pages)) != list(texts)
+
+
+def test_words_in_names_do_not_cut_an_article():
+    pieces = [
+        '<section id="discussion">One to keep</section>', '<p class="alert">Two to keep</p>', '<p class="related-work">Three to keep</p>', '<h2 id="search-methods">Four to keep</h2>', '<p data-id="search-3" data-class="ad">Five to keep</p>',
+        "<p>Six <math><mi>x</mi><mo>+</mo><mn>1</mn></math> to keep</p>", "<p><svg><text>Seven to keep</text></svg></p>", "<noscript><p>Eight to keep</p></noscript>", '<div class="banner-story ad-hoc">Nine to keep</div>',
+    ]
+    gone = ['<div class="ad">No</div>', '<section class="x comments">No</section>', "<aside>No</aside>", "<form>No</form>", '<div role="navigation">No</div>', "<footer>No</footer>"]
+    page = lambda k: f"<html><body><article><h1>{prose(k, 3)}</h1><p>{prose(k + 9, 30)}</p>{''.join(x.replace('to keep', f'to keep {k}') for x in pieces)}{''.join(gone)}</article></body></html>"
+    for k, text in enumerate(extract([page(k) for k in range(5)])):
+        assert text == " ".join([prose(k, 3), prose(k + 9, 30), *(f"{n} to keep {k}" for n in "One Two Three Four Five".split()), f"Six x+1 to keep {k}", *(f"{n} to keep {k}" for n in "Seven Eight Nine".split())])
+
+
 def test_copies_keep_their_text():
     page, text = site(3)
     assert extract([page] * 5) == [text] * 5
