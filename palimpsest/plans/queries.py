@@ -1,7 +1,8 @@
 """Registered queries of the comparison operators, with SQL for those that SQL can express.
 
-Each runs over whole tables. Results that hang on the fixed choice among equally short
-edit scripts have no SQL; tests hold them against fixtures and slow twins instead.
+Each runs over whole tables. Results that hang on the fixed choice among equally short edit
+scripts have SQL that makes the same choice (``scripts_sql``) where its tables stay small;
+tests hold the others against slow twins.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions import rules as R
 from ..operators import frames as K
 from ..sources import pairs as P
 from . import lines as LN
+from . import scripts_sql as S
 from . import timeline as T
 
 QUERIES: dict = {}
@@ -63,6 +65,8 @@ SQL_TOKENS["words"] = (
     f"CASE WHEN i > 1 AND {_solid('p[i - 1]')} THEN p[i - 1] ELSE '' END || p[i] || CASE WHEN i < len(p) AND {_solid('p[i + 1]')} THEN p[i + 1] ELSE '' END END), lambda x: x IS NOT NULL) END "
     f"FROM (SELECT {SQL_PARTS} AS p))"
 )
+#: What words are compared by: the parts without the white space around them; text of white space only is one empty word.
+SQL_KEYS = f"(SELECT CASE WHEN len(p) = 1 AND {_solid('p[1]')} THEN [''] ELSE list_filter(p, lambda x: NOT {_solid('x')}) END FROM (SELECT {SQL_PARTS} AS p))"
 MODE_NAMES = {"chars": "chars", "words": "words", "wordsWithSpace": "words_space", "lines": "lines", "sentences": "sentences"}
 
 
@@ -128,6 +132,38 @@ def _lcs(a: str, b: str) -> str:
     return LCS.format(a=a, b=b)
 
 
+TURN, DOC = "{'conv_id': conv_id, 'turn': turn}", "{'doc_id': doc_id}"
+
+
+def _script(mode: str, pairs: str, key: str) -> str:
+    """SQL tables ``t`` (the pairs by ``id``) and ``runs`` (their edit scripts)."""
+    keys = [SQL_KEYS.replace("{t}", c) for c in ("old", "new")] if mode == "words" else ["a", "b"]
+    return "WITH RECURSIVE " + S.script(pairs, key, _sql_tokens(mode, "old"), _sql_tokens(mode, "new"), *keys)
+
+
+def _found(mode: str, pairs: str = TALK, key: str = TURN) -> str:
+    """SQL tables up to ``found``: change lists, with what the views count."""
+    return _script(mode, pairs, key) + (S.words(WS) if mode == "words" else S.VALUES) + ", " + FOUND
+
+
+#: Changes with their running number among the changed ones and their place in the new text.
+FOUND = """counted AS MATERIALIZED (
+  SELECT *, CASE WHEN op <> 0 THEN count(*) FILTER (op <> 0) OVER w - 1 END AS index, sum(CASE WHEN op < 0 THEN 0 ELSE length(value) END) OVER w AS stop, sum(CASE WHEN op < 0 THEN 0 ELSE length(value) END) OVER (PARTITION BY id) AS total
+  FROM found WINDOW w AS (PARTITION BY id ORDER BY run ROWS UNBOUNDED PRECEDING))"""
+_kind = lambda of, kind: f"coalesce(sum({of}) FILTER (op {kind} 0), 0)::BIGINT"
+PER_PAIR = f"""(SELECT t.id, count(c.id)::INTEGER AS n_changes, {_kind('length(value)', '>')} AS added, {_kind('length(value)', '<')} AS removed, {_kind('length(value)', '=')} AS unchanged,
+  coalesce(list({{'value': value, 'added': op > 0, 'removed': op < 0, 'count': n}} ORDER BY run) FILTER (c.id IS NOT NULL), []) AS c FROM t LEFT JOIN counted c ON c.id = t.id GROUP BY t.id)"""
+_hundredths = lambda p, t: f"CASE WHEN {t} <= 0 THEN 0 ELSE (2 * {p} * 10000 + {t}) // (2 * {t}) END"
+
+
+def _similarity_sql(pairs: str, key: str) -> str:
+    """(id, similarity) of pairs of plain texts."""
+    ready = f"(SELECT * REPLACE ({_prepared(_quotes('old'))} AS old, {_prepared(_quotes('new'))} AS new) FROM {pairs})"
+    solid = lambda c: f"length(regexp_replace({c}, '[{WS}]+', '', 'g'))"
+    same = "(SELECT id, sum(list_sum(list_transform(t.kb[j + 1:j + n], lambda x: length(x)))) AS same FROM runs JOIN t USING (id) WHERE op = 0 GROUP BY id)"
+    return f"{_script('words', ready, key)} SELECT t.id, CASE WHEN old = '' AND new = '' THEN 1.0 WHEN old = '' OR new = '' THEN 0.0 ELSE least(2 * coalesce(same, 0) / ({solid('old')} + {solid('new')})::DOUBLE, 1.0) END::DOUBLE AS similarity FROM t LEFT JOIN {same} USING (id)"
+
+
 def _per_kind(changes):
     return N.stats(changes, lambda c: c["count"])
 
@@ -150,8 +186,19 @@ def edit_distance_lines(spark, d):
     return ops.select("doc_id", F.aggregate("ops", F.lit(0).cast("long"), lambda t, x: t + F.when(x["op"] != 0, x["count"]).otherwise(0)).alias("distance"))
 
 
+#: Length of the longest common subsequence of two strings: for each length the shortest beginning of ``b`` that has one, after each character of ``a``.
+LCS_CHARS = "(len(list_reduce(list_prepend([0], list_transform(regexp_extract_all({a}, '(?s).'), lambda x: [unicode(x)])), lambda t, x: list_filter(list_transform(range(0, len(t) + 1), lambda k: CASE WHEN k = 0 THEN 0 ELSE least(coalesce(t[k + 1], 2147483647), coalesce(t[k] + nullif(strpos(substr({b}, t[k] + 1), chr(x[1])), 0), 2147483647)) END::INTEGER), lambda y: y < 2147483647))) - 1)"
+
+
+def _distance_sql(mode: str) -> str:
+    if mode == "chars":
+        return f"SELECT conv_id, turn, (length(old) + length(new) - 2 * {LCS_CHARS.format(a='old', b='new')})::BIGINT AS distance FROM {TALK}"
+    a, b = (SQL_KEYS.replace("{t}", c) if mode == "words" else _sql_tokens(mode, c) for c in ("old", "new"))
+    return f"SELECT conv_id, turn, (len(a) + len(b) - 2 * {_lcs('a', 'b')})::BIGINT AS distance FROM (SELECT conv_id, turn, {a} AS a, {b} AS b FROM {TALK})"
+
+
 def _distance(mode):
-    @query(f"edit_distance_{MODE_NAMES[mode]}")
+    @query(f"edit_distance_{MODE_NAMES[mode]}", _distance_sql(mode))
     def distance(spark, d):
         ops = P.conversation_revisions(spark, d).select("conv_id", "turn", K.operations(mode, "old", "new").alias("ops"))
         return ops.select("conv_id", "turn", F.aggregate("ops", F.lit(0).cast("long"), lambda t, x: t + F.when(x["op"] != 0, x["count"]).otherwise(0)).alias("distance"))
@@ -173,7 +220,8 @@ for _mode in ("wordsWithSpace", "lines", "sentences"):
 
 
 def _changes(mode):
-    @query(f"changes_{MODE_NAMES[mode]}")
+    # The search in SQL keeps a table of all pairs of tokens, too large for characters.
+    @query(f"changes_{MODE_NAMES[mode]}", None if mode == "chars" else f"{_found(mode)} SELECT id.conv_id AS conv_id, id.turn AS turn, n_changes, added, removed, unchanged, md5(to_json(c)::VARCHAR) AS digest FROM {PER_PAIR}")
     def changes(spark, d):
         c = P.conversation_revisions(spark, d).select("conv_id", "turn", K.changes(mode, "old", "new").alias("c"))
         return c.select("conv_id", "turn", F.size("c").alias("n_changes"), N.stats("c").alias("s"), F.md5(F.to_json("c")).alias("digest")).select("conv_id", "turn", "n_changes", "s.added", "s.removed", "s.unchanged", "digest")
@@ -213,16 +261,45 @@ def line_stats_split(spark, d):
     return s.select("doc_id", "s.added", "s.removed", "s.unchanged")
 
 
-@query("hunks")
+#: Numbered line rows of document pairs, with what folding and pairing need.
+ROWS = f"""{_script('lines', DOCS, DOC)},
+parts AS (SELECT r.id, run, op, unnest(range(0, r.n)) AS q, i, j, t.a, t.b FROM runs r JOIN t ON t.id = r.id),
+lines AS MATERIALIZED (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY run, q) AS row_no, CASE WHEN op < 0 THEN 'removed' WHEN op > 0 THEN 'added' ELSE 'equal' END AS type,
+    CASE WHEN op <= 0 THEN i + q + 1 END AS old_no, CASE WHEN op >= 0 THEN j + q + 1 END AS new_no, regexp_replace(CASE WHEN op < 0 THEN a[i + q + 1] ELSE b[j + q + 1] END, '\\r?\\n\\z', '') AS text FROM parts)"""
+_by_row = "(PARTITION BY id ORDER BY row_no)"
+_row_json = "'{\"row_no\":' || row_no || ',\"type\":\"' || type || '\"' || coalesce(',\"old_no\":' || old_no, '') || coalesce(',\"new_no\":' || new_no, '') || ',\"text\":' || to_json(text)::VARCHAR || '}'"
+HUNKS_SQL = f"""{ROWS},
+near AS (SELECT *, max(type <> 'equal') OVER (PARTITION BY id ORDER BY row_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, max(type <> 'equal') OVER (PARTITION BY id) AS altered FROM lines),
+seen AS (SELECT *, near OR altered AND coalesce(lag(near) OVER {_by_row}, true) AND coalesce(lead(near) OVER {_by_row}, true) AS shown FROM near),
+cut AS (SELECT *, coalesce(lag(shown) OVER {_by_row} <> shown, false)::INTEGER AS step FROM seen),
+blocks AS (SELECT *, sum(step) OVER {_by_row} AS block FROM cut),
+summed AS (SELECT id, block, CASE WHEN any_value(shown) THEN 'hunk' ELSE 'collapsed' END AS type, count(old_no) AS old_lines, count(new_no) AS new_lines, count(*) AS n, '[' || string_agg({_row_json}, ',' ORDER BY row_no) || ']' AS rows FROM blocks GROUP BY id, block)
+SELECT id.doc_id AS doc_id, block::INTEGER AS block, type, (1 + coalesce(sum(old_lines) OVER b, 0))::BIGINT AS old_start, old_lines, (1 + coalesce(sum(new_lines) OVER b, 0))::BIGINT AS new_start, new_lines, n AS count, md5(rows) AS rows
+FROM summed WINDOW b AS (PARTITION BY id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+SPLIT_SQL = f"""{ROWS},
+marked AS (SELECT *, CASE WHEN type = 'equal' OR coalesce(lag(type) OVER {_by_row}, 'equal') = 'equal' THEN 1 ELSE 0 END AS fresh FROM lines),
+numbered AS (SELECT *, sum(fresh) OVER {_by_row} AS run FROM marked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id, run, type ORDER BY row_no) AS place FROM numbered)
+SELECT coalesce(l.id, r.id).doc_id AS doc_id, coalesce(l.run, r.run)::BIGINT AS run, coalesce(l.place, r.place)::INTEGER AS place, CASE WHEN l.type = 'equal' THEN 'equal' WHEN l.type IS NULL THEN 'added' WHEN r.type IS NULL THEN 'removed' ELSE 'modified' END AS type,
+  l.old_no::VARCHAR AS left_no, md5(l.text) AS left_text, coalesce(r.new_no, l.new_no)::VARCHAR AS right_no, md5(CASE WHEN l.type = 'equal' THEN l.text ELSE r.text END) AS right_text
+FROM (SELECT * FROM placed WHERE type <> 'added') l FULL JOIN (SELECT * FROM placed WHERE type = 'added') r ON l.id = r.id AND l.run = r.run AND l.place = r.place"""
+MARKS_SQL = f"""{ROWS},
+counted AS (SELECT *, count(new_no) OVER (PARTITION BY id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS stop, count(new_no) OVER (PARTITION BY id) AS total, row_number() OVER {_by_row} - row_number() OVER (PARTITION BY id, type = 'equal' ORDER BY row_no) AS island FROM lines),
+marks AS (SELECT id, min(row_no) AS first, CASE WHEN min(type) = max(type) THEN min(type) ELSE 'modified' END AS kind, {_hundredths('(max(stop) - count(new_no))', 'max(total)')} AS top, {_hundredths('max(stop)', 'max(total)')} AS bottom FROM counted WHERE type <> 'equal' GROUP BY id, island)
+SELECT id.doc_id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY first) - 1)::INTEGER AS index, kind, top::INTEGER AS top, (bottom - top)::INTEGER AS height FROM marks"""
+
+
+@query("hunks", HUNKS_SQL)
 def hunks(spark, d):
     shown = LN.folded(LN.rows(P.document_revisions(spark, d), ["doc_id"]), ["doc_id"])
     return LN.hunks(shown, ["doc_id"]).withColumn("rows", F.md5(F.to_json("rows")))
 
 
-@query("split_rows")
+@query("split_rows", SPLIT_SQL)
 def split_rows(spark, d):
     shown = LN.paired(LN.rows(P.document_revisions(spark, d), ["doc_id"]), ["doc_id"])
-    return shown.withColumn("left_text", F.md5("left_text")).withColumn("right_text", F.md5("right_text"))
+    return shown.withColumn("left_text", F.md5("left_text")).withColumn("right_text", F.md5("right_text")).withColumn("left_no", F.col("left_no").cast("string")).withColumn("right_no", F.col("right_no").cast("string"))
 
 
 @query("split_hunks")
@@ -241,13 +318,13 @@ def moves_near(spark, d):
     return P.document_revisions(spark, d).select("doc_id", F.inline(K.moves("old", "new", moveSimilarity=0.6)))
 
 
-def _similarity(name, pairs, keys, html):
-    @query(name)
+def _similarity(name, pairs, keys, html, sql=None):
+    @query(name, sql)
     def similarity(spark, d):
         return pairs(spark, d).select(*keys, K.similarity("old", "new", html=html).alias("similarity"))
 
 
-_similarity("similarity", P.conversation_revisions, ("conv_id", "turn"), False)
+_similarity("similarity", P.conversation_revisions, ("conv_id", "turn"), False, f"SELECT id.conv_id AS conv_id, id.turn AS turn, similarity FROM ({_similarity_sql(TALK, TURN)})")
 _similarity("similarity_documents", P.document_revisions, ("doc_id",), False)
 _similarity("similarity_html", P.page_revisions, ("page_id",), True)
 
@@ -266,12 +343,12 @@ def heatmap_text(spark, d):
     return h.select("conv_id", "turn", F.md5(F.array_join(F.transform(F.filter("h.segments", lambda s: s["type"] != "removed"), lambda s: s["text"]), "")).alias("v"))
 
 
-@query("minimap_text")
+@query("minimap_text", f"{_found('words')} SELECT id.conv_id AS conv_id, id.turn AS turn, index::INTEGER AS index, CASE WHEN op > 0 THEN 'added' ELSE 'removed' END AS kind, top::INTEGER AS top, ({_hundredths('stop', 'total')} - top)::INTEGER AS height FROM (SELECT *, {_hundredths('(stop - CASE WHEN op < 0 THEN 0 ELSE length(value) END)', 'total')} AS top FROM counted WHERE op <> 0)")
 def minimap_text(spark, d):
     return P.conversation_revisions(spark, d).select("conv_id", "turn", F.inline(N.text_marks(K.changes("words", "old", "new"))))
 
 
-@query("minimap_lines")
+@query("minimap_lines", MARKS_SQL)
 def minimap_lines(spark, d):
     return P.document_revisions(spark, d).select("doc_id", F.inline(K.minimap("unified", "old", "new")))
 
@@ -285,7 +362,10 @@ def timeline_steps(spark, d):
     return t.select("conv_id", F.col("step").cast("long").alias("step"), "from_label", "to_label")
 
 
-@query("timeline")
+@query(
+    "timeline",
+    f"SELECT x.id.conv_id AS conv_id, (row_number() OVER (PARTITION BY x.id.conv_id ORDER BY x.id.turn))::INTEGER AS step, added, removed, unchanged, similarity, n_changes FROM ({_found('words')} SELECT * FROM {PER_PAIR}) x JOIN ({_similarity_sql(TALK, TURN)}) y ON x.id = y.id",
+)
 def timeline(spark, d):
     t = T.steps(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "text")
     return t.select("conv_id", "step", "stats.added", "stats.removed", "stats.unchanged", "similarity", F.size("changes").alias("n_changes"))
@@ -297,8 +377,25 @@ def timeline_html(spark, d):
     return t.select("conv_id", F.length("html").alias("size"), F.md5("html").alias("digest"))
 
 
+def _spans_sql(before: str, after: str, style: str) -> str:
+    """Markup of words, each change as a span."""
+    number = "index || '\"'"
+    span = f"CASE WHEN op = 0 THEN '<span>' ELSE '<span class=\"diff-' || CASE WHEN op > 0 THEN 'added' ELSE 'removed' END || '\" data-change-index=\"' || {number}{style} || '>' END || {_escaped('value')} || '</span>'"
+    return f"{_found('words')} SELECT t.id.conv_id AS conv_id, t.id.turn AS turn, md5('{before}' || coalesce(string_agg({span}, '' ORDER BY run), '') || '{after}') AS digest FROM t LEFT JOIN counted c ON c.id = t.id GROUP BY t.id"
+
+
+VIEW_SQL = {
+    "words": _spans_sql('<div class="text-diff text-diff-words">', "</div>", ""),
+    "playback_words": _spans_sql(
+        '<div class="text-diff-playback-wrap"><input class="diff-replay-input" type="checkbox" id="td-replay"><label class="diff-replay" for="td-replay">Replay</label><div class="text-diff text-diff-words text-diff-playback">',
+        "</div></div>",
+        " || ' style=\"--td-i:' || index || '\"'",
+    ),
+}
+
+
 def _render(view, pairs, keys, **options):
-    @query(f"render_{MODE_NAMES.get(view, view)}")
+    @query(f"render_{MODE_NAMES.get(view, view)}", VIEW_SQL.get(view))
     def render(spark, d):
         return pairs(spark, d).select(*keys, F.md5(K.render(view, "old", "new", **options)).alias("digest"))
 
