@@ -27,7 +27,7 @@ def register(spark: SparkSession) -> list[str]:
         "similarity": (lambda a, b: C.similarity(a, b, html=False), "double"),
         "similarity_html": (C.similarity, "double"),
         "hunks": (L.hunks, K.HUNKS),
-        "split_hunks": (lambda a, b: [h if h["type"] == "hunk" else {k: v for k, v in h.items() if k != "rows"} | {"hidden": h["rows"]} for h in L.split_hunks(a, b)], K.SPLIT_HUNKS),
+        "split_hunks": (lambda a, b: K.hidden(L.split_hunks(a, b)), K.SPLIT_HUNKS),
         "moves": (lambda a, b: L.moves(L.rows(a, b)), K.MOVES),
         "heatmap": (H.heatmap, K.HEATMAP),
         "html_diff": (D.diff, K.HTML),

@@ -108,6 +108,25 @@ def statistics(mode: str, old, new, **options) -> Column:
     return kernel(lambda a, b: L.view(mode, a, b, o)[1], STATS, old, new)
 
 
+def step(mode: str, old, new, **options) -> Column:
+    """Statistics, similarity of the plain texts, and change list or hunks of two versions, from one search."""
+    o = Options.of(**options)
+    mode_of(mode, R.VIEWS)
+    name, kind = {"unified": ("hunks", HUNKS), "split": ("hunks", SPLIT_HUNKS)}.get(mode, ("changes", CHANGES))
+
+    def run(a, b):
+        model, found = L.view(mode, a, b, o)
+        model = hidden(model) if mode == "split" else model if mode == "unified" else [c.record() for c in model]
+        return {"stats": found, "similarity": C.similarity(a, b, html=False), name: model}
+
+    return kernel(run, f"struct<stats:{STATS},similarity:double,{name}:{kind}>", old, new)
+
+
+def hidden(blocks: list[dict]) -> list[dict]:
+    """Paired blocks; a collapsed one has its rows under ``hidden``, as they are of another kind."""
+    return [h if h["type"] == "hunk" else {k: v for k, v in h.items() if k != "rows"} | {"hidden": h["rows"]} for h in blocks]
+
+
 def line_rows(old, new, **options) -> Column:
     o = Options.of(**options)
     return kernel(lambda a, b: L.line_rows(a, b, o), f"array<{ROW}>", old, new)
@@ -121,11 +140,7 @@ def hunks(old, new, **options) -> Column:
 def split_hunks(old, new, **options) -> Column:
     """Hunks of paired rows; a collapsed block has its rows under ``hidden``."""
     o = Options.of(**options)
-
-    def run(a, b):
-        return [h if h["type"] == "hunk" else {k: v for k, v in h.items() if k != "rows"} | {"hidden": h["rows"]} for h in L.split_hunks(a, b, o)]
-
-    return kernel(run, SPLIT_HUNKS, old, new)
+    return kernel(lambda a, b: hidden(L.split_hunks(a, b, o)), SPLIT_HUNKS, old, new)
 
 
 def moves(old, new, **options) -> Column:

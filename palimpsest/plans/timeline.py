@@ -24,8 +24,8 @@ def steps(revisions: DataFrame, key: str, order: str, text: str, label: str | No
     w = W.partitionBy(key).orderBy("_n")
     pairs = named.select(key, (F.col("_n") - 1).alias("step"), F.lag("_name").over(w).alias("from_label"), F.col("_name").alias("to_label"), F.lag("_new").over(w).alias("_old"), "_new").filter("step > 0")
     pairs = spread(pairs, key, "step")
-    model = K.hunks("_old", "_new", **options).alias("hunks") if mode == "unified" else K.split_hunks("_old", "_new", **options).alias("hunks") if mode == "split" else K.changes(mode, "_old", "_new", **options).alias("changes")
-    return pairs.select(key, "step", "from_label", "to_label", K.statistics(mode, "_old", "_new", **options).alias("stats"), K.similarity("_old", "_new", html=False).alias("similarity"), model)
+    done = pairs.select(key, "step", "from_label", "to_label", K.step(mode, "_old", "_new", **options).alias("_s"))
+    return done.select(key, "step", "from_label", "to_label", "_s.stats", "_s.similarity", "_s.hunks" if mode in ("unified", "split") else "_s.changes")
 
 
 def render(revisions: DataFrame, key: str, order: str, text: str, label: str | None = None, mode: str = "words", **options) -> DataFrame:

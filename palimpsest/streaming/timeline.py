@@ -1,8 +1,8 @@
 """A stream of revisions as timeline steps: each one against the last seen of its key.
 
 An extension: the batch timeline is the rule. On input in order the steps are the same.
-A revision that comes after a later one of its key has been seen is dropped, as is one
-behind the watermark; state is one text a key.
+A revision that comes after a later one of its key has been seen, or with the same time,
+is dropped, however late it is; state is one text a key and stays as long as the stream.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..operators import lines as L
 STEP = "key string, step long, from_label string, to_label string, added long, removed long, unchanged long, unit string, similarity double"
 
 
-def steps(revisions: DataFrame, key: str, time: str, text: str, mode: str = "words", delay: str = "1 hour", **options) -> DataFrame:
+def steps(revisions: DataFrame, key: str, time: str, text: str, mode: str = "words", **options) -> DataFrame:
     """Streaming rows of ``STEP``; ``time`` orders the revisions of a key."""
     o = Options.of(**options)
 
@@ -38,5 +38,5 @@ def steps(revisions: DataFrame, key: str, time: str, text: str, mode: str = "wor
             state.update((seen, last, old))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
 
-    taken = revisions.select(F.col(key).cast("string").alias("_key"), F.col(time).cast("timestamp").alias("_time"), F.col(text).cast("string").alias("_text")).withWatermark("_time", delay)
+    taken = revisions.select(F.col(key).cast("string").alias("_key"), F.col(time).cast("timestamp").alias("_time"), F.col(text).cast("string").alias("_text"))
     return taken.groupBy("_key").applyInPandasWithState(advance, STEP, "seen long, last long, text string", "append", "NoTimeout")
