@@ -24,6 +24,41 @@ def revision_pairs(revisions: DataFrame, group: list, order: list, text: str, ke
     return spread(revisions.select(*keys, old.alias("old"), F.col(text).alias("new")).filter("old is not null"), *keys)
 
 
+#: Parts by order that a group is found in; a group of all rows still makes so many tasks.
+PARTS = 32
+
+
+def neighbour_keys(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """(o, before): each row's order value and that of the row before it in its group; values are unique numbers.
+
+    Each group is cut at the same quantiles of the order, so one that holds a large part of all rows
+    is spread over tasks; the row that a part lacks is the last one of the part before. Only
+    the two columns travel. Groups that are null have no pairs.
+    """
+    rows = rows.select(F.col(group).alias("g"), F.col(order).alias("o")).filter("g is not null")
+    cuts = rows.agg(F.percentile_approx("o", [k / PARTS for k in range(1, PARTS)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("o"))) if cuts else F.lit(0)
+    placed = rows.withColumn("part", part)
+    inside = placed.withColumn("p", F.lag("o").over(W.partitionBy("g", "part").orderBy("o")))
+    last = placed.groupBy("g", "part").agg(F.max("o").alias("last"))
+    edge = last.select("g", "part", F.lag("last").over(W.partitionBy("g").orderBy("part")).alias("edge"))  # at most PARTS rows a group
+    return inside.join(edge, ["g", "part"]).select("o", F.coalesce("p", "edge").alias("before")).filter("before is not null")
+
+
+def neighbour_pairs(rows: DataFrame, group, order: str, text: str) -> DataFrame:
+    """(order, old, new): each row with the text before it in its group, whose size has no bound.
+
+    Neighbours are found by keys alone; then each text is fetched by its key, so no text is
+    sorted and none has to fit in a task with others of its group.
+    """
+    spark = rows.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = neighbour_keys(rows.select(F.sha2(group.cast("binary"), 256).alias("group"), F.col(order)), "group", order)
+    new = rows.select(F.col(order).alias("o"), F.col(text).alias("new")).join(keys, "o").repartition(n, "before")
+    old = rows.select(F.col(order).alias("before"), F.col(text).alias("old")).repartition(n, "before")
+    return new.join(old, "before").filter("old is not null").select(F.col("o").alias(order), "old", "new")
+
+
 def conversation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation with the one before it."""
     return revision_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"], ["turn"], "text", ["conv_id", "turn"])
@@ -32,13 +67,13 @@ def conversation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the same first line, each with the one before it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return revision_pairs(docs, [F.substring_index("text", "\n", 1)], ["doc_id"], "text", ["doc_id"])
+    return neighbour_pairs(docs, F.substring_index("text", "\n", 1), "doc_id", "text")
 
 
 def page_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host, each with the one before it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return revision_pairs(pages, [F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)], ["page_id"], "html", ["page_id"])
+    return neighbour_pairs(pages, F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), "page_id", "html")
 
 
 def fixture_cases(spark: SparkSession, path: str) -> DataFrame:

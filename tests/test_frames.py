@@ -146,3 +146,18 @@ def test_sql_names(spark):
     got = spark.sql("select d.* from values ('a\nb', 'a\nc') t(x, y), lateral diff_rows(x, y) d order by row_no").collect()
     assert [(x.type, x.text) for x in got] == [("equal", "a"), ("removed", "b"), ("added", "c")]
     assert [x.text for x in spark.sql("select s.text from values ('Hi. There') t(x), lateral sentences_of(x) s order by position").collect()] == ["Hi.", "There"]
+
+
+def test_pairs_of_a_hot_group(spark):
+    from palimpsest.sources import pairs as P
+
+    r = random.Random(12)
+    rows = [(k, "hot" if k % 3 else r.choice("abcdefgh"), f"text {k}" if k % 7 else None) for k in r.sample(range(5000), 900)] + [(9000, None, "x"), (9001, None, "y")]
+    frame = spark.createDataFrame(rows, "id long, g string, t string").repartition(5)
+    want, last = [], {}
+    for i, g, t in sorted(rows):
+        if g is not None and last.get(g) is not None:
+            want.append((i, last[g], t))
+        last[g] = t
+    assert sorted(map(tuple, P.neighbour_pairs(frame, F.col("g"), "id", "t").collect())) == want
+    assert P.neighbour_pairs(frame.limit(0), F.col("g"), "id", "t").count() == 0
