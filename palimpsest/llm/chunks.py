@@ -37,7 +37,7 @@ from .superkmers import gather
 #: Text bytes aimed at in a chunk. A single longer text makes a longer chunk.
 CHUNK_BYTES = 2 << 20
 #: Ranges of content: so many, unless a range would get the records of more than SHARE chunks.
-RANGES, SHARE = 64, 16
+RANGES, SHARE = 64, 8
 #: Crates that a group fills at most, where there are more sources and targets than that.
 FAN = 256
 MAIL = "at long, lane long, data binary"
@@ -211,7 +211,7 @@ def widths(sources: int, targets: int) -> list[int]:
 def crated(records: Records, width: int, lane: int) -> pa.Table:
     """Rows of ``MAIL``: one crate for each ``width`` neighbouring targets."""
     order = np.argsort(records.to, kind="stable")
-    at = records.to[order] // width
+    at = records.to[order].astype(np.int64) // width
     cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at)).tolist()
     blobs, sealed = [], np.array([records.body is not None], np.uint8)
     for a, b in zip(cut[:-1], cut[1:]):
@@ -228,7 +228,7 @@ def opened(blobs: list[bytes]) -> Records | None:
     sealed = bool(crates[0][0][0])
     columns = [np.concatenate([c[k] for c in crates]) for k in range(1, len(crates[0]))]
     size, body = columns[-2:] if sealed else (None, None)
-    return Records(columns[0].astype(np.int64), columns[1].astype(np.int64), columns[2 : len(columns) - 2 * sealed], size, body)
+    return Records(*columns[:2], columns[2 : len(columns) - 2 * sealed], size, body)
 
 
 def dealer(width: int, fan: int):
@@ -297,7 +297,7 @@ def apply(chunks: DataFrame, answers: DataFrame, function: Callable[[Chunk, list
 
 
 #: Keys compared at a time.
-KEYS = 1 << 20
+KEYS = 1 << 19
 
 
 def short(keys: np.ndarray) -> list[np.ndarray]:
@@ -309,6 +309,13 @@ def joined_key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return (hi.astype(np.uint64) << np.uint64(16)) | lo
 
 
+def key_parts(low: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of records in parts of about ``KEYS``, by the lower column of their keys."""
+    n = max(1, -(-len(low) // KEYS))
+    for p in range(n):
+        yield np.flatnonzero(low % np.uint16(n) == p) if n > 1 else np.arange(len(low))
+
+
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (keys % np.uint64(ranges)).astype(np.int64)
 
@@ -327,17 +334,16 @@ def common_keys(chunks: DataFrame, keys_of: Callable[[Chunk], np.ndarray], n: in
         return Mail(range_of(keys, ranges), short(keys))
 
     def answer(r):
-        key, more = joined_key(*r.columns), np.zeros(len(r.to), bool)
-        part = r.columns[1].astype(np.int64) % max(1, -(-len(key) // KEYS))
-        for p in range(int(part.max(initial=-1)) + 1):
-            rows = np.flatnonzero(part == p)
-            order = rows[np.argsort(key[rows])]
+        more = np.zeros(len(r.to), bool)
+        for rows in key_parts(r.columns[1]):
+            key = joined_key(r.columns[0][rows], r.columns[1][rows])
+            order = np.argsort(key)
             # Keys of one chunk are distinct but for the bits cut off, so equal neighbours are of two chunks.
             same = key[order][1:] == key[order][:-1]
-            more[order[1:][same]] = True
-            more[order[:-1][same]] = True
+            more[rows[order[1:][same]]] = True
+            more[rows[order[:-1][same]]] = True
         by = np.argsort(r.of, kind="stable")
-        first = np.flatnonzero(np.diff(r.of[by], prepend=-1))
+        first = np.flatnonzero(np.diff(r.of[by].astype(np.int64), prepend=-1))
         bits = [np.packbits(more[rows]) for rows in np.split(by, first[1:])]
         return Mail(r.of[by[first]], [r.to[by[first]].astype(np.uint32)], np.array([len(b) for b in bits], np.int64), np.concatenate(bits))
 

@@ -88,17 +88,16 @@ def emitter(size: int, ranges: int):
 def count(sent: C.Records) -> C.Mail:
     """Counts over all chunks of the shingles that occur more than once, back to the chunks that hold them."""
     hi, lo, n = sent.columns
-    key, df = C.joined_key(hi, lo), np.zeros(len(n), np.int64)
-    part = lo.astype(np.int64) % max(1, -(-len(key) // C.KEYS))
-    for p in range(int(part.max(initial=-1)) + 1):
-        rows = np.flatnonzero(part == p)
-        order = rows[np.argsort(key[rows])]
+    df = np.zeros(len(n), np.uint32)
+    for rows in C.key_parts(lo):
+        key = C.joined_key(hi[rows], lo[rows])
+        order = np.argsort(key)
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
-        total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
-        df[order] = total[np.cumsum(new) - 1]
+        total = np.add.reduceat(n[rows[order]].astype(np.int64), np.flatnonzero(new)) if len(rows) else new
+        df[rows[order]] = np.minimum(total, 2**32 - 1)[np.cumsum(new) - 1]
     k = np.flatnonzero(df > 1)
-    return C.Mail(sent.of[k], [hi[k], lo[k], np.minimum(df[k], 2**32 - 1).astype(np.uint32)])
+    return C.Mail(sent.of[k], [hi[k], lo[k], df[k]])
 
 
 def prefixes(size: int, num: int, den: int):
