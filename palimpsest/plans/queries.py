@@ -261,19 +261,22 @@ def line_stats_split(spark, d):
     return s.select("doc_id", "s.added", "s.removed", "s.unchanged")
 
 
-#: Numbered line rows of document pairs, with what folding and pairing need.
-ROWS = f"""{_script('lines', DOCS, DOC)},
+def _rows(pairs: str) -> str:
+    """Numbered line rows of pairs as table ``lines``, with what folding and pairing need."""
+    return f"""{_script('lines', pairs, DOC)},
 parts AS (SELECT r.id, run, op, unnest(range(0, r.n)) AS q, i, j, t.a, t.b FROM runs r JOIN t ON t.id = r.id),
 lines AS MATERIALIZED (
   SELECT id, row_number() OVER (PARTITION BY id ORDER BY run, q) AS row_no, CASE WHEN op < 0 THEN 'removed' WHEN op > 0 THEN 'added' ELSE 'equal' END AS type,
     CASE WHEN op <= 0 THEN i + q + 1 END AS old_no, CASE WHEN op >= 0 THEN j + q + 1 END AS new_no, regexp_replace(CASE WHEN op < 0 THEN a[i + q + 1] ELSE b[j + q + 1] END, '\\r?\\n\\z', '') AS text FROM parts)"""
+ROWS = _rows(DOCS)
 _by_row = "(PARTITION BY id ORDER BY row_no)"
 _row_json = "'{\"row_no\":' || row_no || ',\"type\":\"' || type || '\"' || coalesce(',\"old_no\":' || old_no, '') || coalesce(',\"new_no\":' || new_no, '') || ',\"text\":' || to_json(text)::VARCHAR || '}'"
-HUNKS_SQL = f"""{ROWS},
-near AS (SELECT *, max(type <> 'equal') OVER (PARTITION BY id ORDER BY row_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, max(type <> 'equal') OVER (PARTITION BY id) AS altered FROM lines),
+BLOCKS = f"""
+near AS (SELECT *, max(type <> 'equal') OVER (PARTITION BY id ORDER BY row_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, max(type <> 'equal') OVER (PARTITION BY id) AS altered FROM {{lines}}),
 seen AS (SELECT *, near OR altered AND coalesce(lag(near) OVER {_by_row}, true) AND coalesce(lead(near) OVER {_by_row}, true) AS shown FROM near),
 cut AS (SELECT *, coalesce(lag(shown) OVER {_by_row} <> shown, false)::INTEGER AS step FROM seen),
-blocks AS (SELECT *, sum(step) OVER {_by_row} AS block FROM cut),
+blocks AS (SELECT *, sum(step) OVER {_by_row} AS block FROM cut)"""
+HUNKS_SQL = f"""{ROWS},{BLOCKS.format(lines='lines')},
 summed AS (SELECT id, block, CASE WHEN any_value(shown) THEN 'hunk' ELSE 'collapsed' END AS type, count(old_no) AS old_lines, count(new_no) AS new_lines, count(*) AS n, '[' || string_agg({_row_json}, ',' ORDER BY row_no) || ']' AS rows FROM blocks GROUP BY id, block)
 SELECT id.doc_id AS doc_id, block::INTEGER AS block, type, (1 + coalesce(sum(old_lines) OVER b, 0))::BIGINT AS old_start, old_lines, (1 + coalesce(sum(new_lines) OVER b, 0))::BIGINT AS new_start, new_lines, n AS count, md5(rows) AS rows
 FROM summed WINDOW b AS (PARTITION BY id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
@@ -290,6 +293,76 @@ marks AS (SELECT id, min(row_no) AS first, CASE WHEN min(type) = max(type) THEN
 SELECT id.doc_id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY first) - 1)::INTEGER AS index, kind, top::INTEGER AS top, (bottom - top)::INTEGER AS height FROM marks"""
 
 
+#: Blocks are taken from all like pairs of lines, the longest first; each round drops the rows of the block it took.
+MOVES = f"""
+changed AS (SELECT *, {_prepared('text')} AS plain, count(*) FILTER (type = 'equal') OVER {_by_row} AS region FROM lines),
+few AS (SELECT id FROM changed GROUP BY id HAVING count(*) FILTER (type = 'removed') * count(*) FILTER (type = 'added') <= 1000000),
+likes AS (SELECT a.id, a.row_no AS i, b.row_no AS j, a.plain = '' AS blank FROM changed a JOIN changed b ON a.id = b.id AND a.plain = b.plain AND a.region <> b.region JOIN few ON few.id = a.id WHERE a.type = 'removed' AND b.type = 'added'),
+rounds AS (
+  SELECT id, i, j, blank, 0::BIGINT AS size FROM likes
+  UNION ALL
+  (WITH runs AS (
+    SELECT id, min(i) FILTER (NOT blank) AS i, min(j) FILTER (NOT blank) AS j, max(i) FILTER (NOT blank) - min(i) FILTER (NOT blank) + 1 AS size
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS island FROM rounds WHERE size = 0) GROUP BY id, j - i, island),
+  best AS (SELECT DISTINCT ON (id) id, i, j, size FROM runs WHERE size > 0 ORDER BY id, size DESC, j, i)
+  SELECT id, i, j, false, size::BIGINT FROM best
+  UNION ALL
+  SELECT c.id, c.i, c.j, c.blank, 0::BIGINT FROM rounds c JOIN best b ON b.id = c.id WHERE c.size = 0 AND c.i NOT BETWEEN b.i AND b.i + b.size - 1 AND c.j NOT BETWEEN b.j AND b.j + b.size - 1))"""
+MOVES_SQL = f"""{_rows(P.PAIRS_SQL['rotated'])},{MOVES}
+SELECT r.id.doc_id AS doc_id, (row_number() OVER (PARTITION BY r.id ORDER BY r.j) - 1)::INTEGER AS id, x.old_no::INTEGER AS "oldStart", y.new_no::INTEGER AS "newStart", r.size::INTEGER AS lines
+FROM rounds r JOIN lines x ON x.id = r.id AND x.row_no = r.i JOIN lines y ON y.id = r.id AND y.row_no = r.j WHERE r.size > 0"""
+
+
+#: Rows with their moves: the other side's line, and the move's number by new place.
+MOVED = """
+taken AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY j) - 1 AS move FROM rounds WHERE size > 0),
+moved AS (
+  SELECT l.id, l.row_no, CASE WHEN f.move IS NOT NULL THEN 'moved-from' WHEN g.move IS NOT NULL THEN 'moved-to' ELSE l.type END AS type, l.old_no, l.new_no, l.text, coalesce(f.move, g.move) AS move,
+    CASE WHEN f.move IS NOT NULL THEN (SELECT new_no FROM lines y WHERE y.id = l.id AND y.row_no = f.j + l.row_no - f.i) WHEN g.move IS NOT NULL THEN (SELECT old_no FROM lines x WHERE x.id = l.id AND x.row_no = g.i + l.row_no - g.j) END AS other
+  FROM lines l LEFT JOIN taken f ON l.type = 'removed' AND f.id = l.id AND l.row_no BETWEEN f.i AND f.i + f.size - 1 LEFT JOIN taken g ON l.type = 'added' AND g.id = l.id AND l.row_no BETWEEN g.j AND g.j + g.size - 1)"""
+STILL = "moved AS (SELECT *, NULL::BIGINT AS move, NULL::BIGINT AS other FROM lines)"
+
+
+def _unified_sql(anchors: bool) -> str:
+    """From ``moved``: table ``views`` (id, html, marks) of unified views."""
+    span = lambda kind, inner: f"'<span class=\"{kind}\">' || {inner} || '</span>'"
+    role = "' role=\"group\" aria-label=\"' || CASE WHEN move IS NULL THEN type || ' line ' || coalesce(old_no, new_no) WHEN type = 'moved-from' THEN 'line ' || old_no || ' moved to line ' || other ELSE 'line ' || new_no || ' moved from line ' || other END || '\"'"
+    link = "CASE WHEN move IS NULL THEN '' ELSE '<a class=\"diff-move-link\"' || CASE WHEN first THEN ' id=\"td-move-' || move || '-' || type[7:] || '\"' ELSE '' END || ' href=\"#td-move-' || move || CASE type WHEN 'moved-from' THEN '-to\">moved to' ELSE '-from\">moved from' END || ' line ' || other || '</a>' END"
+    anchor = "|| CASE WHEN starts THEN ' id=\"td-change-' || index || '\"' ELSE '' END" if anchors else ""
+    row = f"""'<div class="diff-row diff-row-' || type || coalesce(' diff-move-' || move % 6, '') || '"' {anchor} || CASE WHEN type = 'equal' THEN '' ELSE {role} END || coalesce(' data-move="' || move || '"', '') || CASE WHEN starts THEN ' data-change-index="' || index || '"' ELSE '' END || '>'
+      || {span('diff-gutter diff-gutter-old', "coalesce(old_no::VARCHAR, '')")} || {span('diff-gutter diff-gutter-new', "coalesce(new_no::VARCHAR, '')")} || '<span class="diff-sign" aria-hidden="true">' || CASE type WHEN 'equal' THEN ' ' WHEN 'removed' THEN '−' WHEN 'moved-from' THEN '−' ELSE '+' END || '</span>'
+      || {span('diff-line', _escaped('text'))} || {link} || '</div>'"""
+    percent = lambda h: f"{h} // 100 || '.' || lpad(({h} % 100)::VARCHAR, 2, '0') || '%'"
+    return f"""{BLOCKS.format(lines='moved')},
+begun AS (SELECT *, type <> 'equal' AND coalesce(lag(type) OVER {_by_row}, 'equal') = 'equal' AS starts, move IS NOT NULL AND NOT coalesce(lag(type) OVER {_by_row} = type AND lag(move) OVER {_by_row} = move, false) AS first FROM blocks),
+ready AS (SELECT *, count(*) FILTER (starts) OVER {_by_row} - 1 AS index, count(new_no) OVER (PARTITION BY id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS stop, count(new_no) OVER (PARTITION BY id) AS total FROM begun),
+parts_shown AS (SELECT id, block, any_value(altered) AS altered, CASE WHEN any_value(shown) THEN string_agg({row}, '' ORDER BY row_no) ELSE '<div class="diff-row diff-row-collapsed">' || count(*) || ' unchanged lines</div>' END AS html FROM ready GROUP BY id, block),
+marks AS (SELECT id, index, CASE WHEN bool_and(move IS NOT NULL) THEN 'moved' WHEN min(type) = max(type) THEN min(type) ELSE 'modified' END AS kind, {_hundredths('(max(stop) - count(new_no))', 'max(total)')} AS top, {_hundredths('max(stop)', 'max(total)')} AS bottom FROM ready WHERE type <> 'equal' GROUP BY id, index),
+links AS (SELECT id, string_agg('<a class="diff-minimap-mark diff-minimap-' || kind || '" href="#td-change-' || index || '" style="top:' || {percent('top')} || ';height:' || {percent('(bottom - top)')} || '" aria-label="Change ' || (index + 1) || ': ' || kind || '"></a>', '' ORDER BY index) AS links FROM marks GROUP BY id),
+views AS (
+  SELECT t.id, '<div class="text-diff text-diff-unified">' || coalesce(html, '<div class="diff-empty">No changes</div>') || '</div>' AS html, '<nav class="text-diff-minimap" aria-label="Change minimap">' || coalesce(links, '') || '</nav>' AS minimap
+  FROM t LEFT JOIN (SELECT id, string_agg(html, '' ORDER BY block) AS html FROM parts_shown WHERE altered GROUP BY id) USING (id) LEFT JOIN links USING (id))"""
+
+
+UNIFIED_SQL = f"""{ROWS},{MOVES},{MOVED},{_unified_sql(True)} SELECT id.doc_id AS doc_id, md5('<div class="text-diff-with-minimap">' || html || minimap || '</div>') AS digest FROM views"""
+_count = lambda kind: f"(SELECT count(*) FROM lines l WHERE l.id = v.id AND l.type = '{kind}')"
+
+
+def _stat_sql(kind: str, sign: str, n: str) -> str:
+    return f"""'<span class="diff-stat diff-stat-{kind}"><span aria-hidden="true">{sign}' || {n} || '</span><span class="diff-sr">' || {n} || CASE WHEN {n} = 1 THEN ' line' ELSE ' lines' END || ' {kind}</span></span>'"""
+
+
+TIMELINE_SQL = f"""SELECT conv_id, length(html)::INTEGER AS size, md5(html) AS digest FROM (
+  SELECT c.conv_id, '<div class="text-diff-timeline" role="group" aria-label="Revision timeline">' || coalesce(string_agg(
+    '<input class="diff-rev-input" type="radio" name="td-rev" id="td-rev-' || step || '"' || CASE WHEN step = steps THEN ' checked' ELSE '' END || '><label class="diff-rev-label" for="td-rev-' || step || '">' || caption || '</label><div class="diff-rev-panel" role="group" aria-label="' || caption || '"><div class="diff-rev-caption">' || caption || '</div>'
+    || '<div class="text-diff-stats" data-unit="lines">' || {_stat_sql('added', '+', 'added')} || {_stat_sql('removed', '−', 'removed')} || {_stat_sql('unchanged', '=', 'same')} || '<span class="diff-stat diff-stat-similarity">' || floor(similarity * 100 + 0.5)::BIGINT || '% similar</span></div>' || html || '</div>', '' ORDER BY step), '<div class="diff-empty">Nothing to compare</div>') || '</div>' AS html
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (
+    SELECT *, 'v' || step || ' → v' || (step + 1) AS caption, max(step) OVER (PARTITION BY conv_id) AS steps FROM (
+      SELECT x.id.conv_id AS conv_id, row_number() OVER (PARTITION BY x.id.conv_id ORDER BY x.id.turn) AS step, x.html, added, removed, same, similarity
+      FROM ({_script('lines', TALK, TURN) + _rows('')[len(_script('lines', '', DOC)) :]},{STILL},{_unified_sql(False)} SELECT id, html, {_count('added')} AS added, {_count('removed')} AS removed, {_count('equal')} AS same FROM views v) x
+      JOIN ({_similarity_sql(TALK, TURN)}) y ON x.id = y.id)) s ON s.conv_id = c.conv_id GROUP BY c.conv_id)"""
+
+
 @query("hunks", HUNKS_SQL)
 def hunks(spark, d):
     shown = LN.folded(LN.rows(P.document_revisions(spark, d), ["doc_id"]), ["doc_id"])
@@ -307,15 +380,14 @@ def split_hunks(spark, d):
     return P.document_revisions(spark, d).select("doc_id", F.md5(F.to_json(K.split_hunks("old", "new"))).alias("digest"))
 
 
-@query("moves")
+@query("moves", MOVES_SQL)
 def moves(spark, d):
-    m = P.document_revisions(spark, d).select("doc_id", F.inline(K.moves("old", "new", detectMoves=True)))
-    return m
+    return P.rotated_documents(spark, d).select("doc_id", F.inline(K.moves("old", "new", detectMoves=True)))
 
 
 @query("moves_near")
 def moves_near(spark, d):
-    return P.document_revisions(spark, d).select("doc_id", F.inline(K.moves("old", "new", moveSimilarity=0.6)))
+    return P.rotated_documents(spark, d, " and so on").select("doc_id", F.inline(K.moves("old", "new", moveSimilarity=0.6)))
 
 
 def _similarity(name, pairs, keys, html, sql=None):
@@ -371,7 +443,7 @@ def timeline(spark, d):
     return t.select("conv_id", "step", "stats.added", "stats.removed", "stats.unchanged", "similarity", F.size("changes").alias("n_changes"))
 
 
-@query("timeline_html")
+@query("timeline_html", TIMELINE_SQL)
 def timeline_html(spark, d):
     t = T.render(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "text", mode="unified")
     return t.select("conv_id", F.length("html").alias("size"), F.md5("html").alias("digest"))
@@ -385,6 +457,7 @@ def _spans_sql(before: str, after: str, style: str) -> str:
 
 
 VIEW_SQL = {
+    "unified": UNIFIED_SQL,
     "words": _spans_sql('<div class="text-diff text-diff-words">', "</div>", ""),
     "playback_words": _spans_sql(
         '<div class="text-diff-playback-wrap"><input class="diff-replay-input" type="checkbox" id="td-replay"><label class="diff-replay" for="td-replay">Replay</label><div class="text-diff text-diff-words text-diff-playback">',

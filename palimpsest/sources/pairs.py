@@ -70,6 +70,16 @@ def document_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(docs, F.substring_index("text", "\n", 1), "doc_id", "text")
 
 
+def rotated_documents(spark: SparkSession, sf_dir: str, mark: str = "") -> DataFrame:
+    """Documents of four lines or more with their last third of lines moved to the front, each moved line ending in ``mark``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", "\n").alias("l")).filter("size(l) > 3")
+    n = F.size("l")
+    k = F.floor(n / 3).cast("int")
+    front = F.transform(F.slice("l", n - k + 1, k), lambda x: F.concat(x, F.lit(mark)))
+    whole = lambda a: F.concat(F.array_join(a, "\n"), F.lit("\n"))
+    return spread(docs.select("doc_id", whole(F.col("l")).alias("old"), whole(F.concat(front, F.slice("l", F.lit(1), n - k))).alias("new")), "doc_id")
+
+
 def page_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host, each with the one before it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -83,6 +93,7 @@ def fixture_cases(spark: SparkSession, path: str) -> DataFrame:
 
 #: The same pairs in SQL.
 PAIRS_SQL = {
+    "rotated": "(SELECT doc_id, array_to_string(l, chr(10)) || chr(10) AS old, array_to_string(l[len(l) - len(l) // 3 + 1:] || l[:len(l) - len(l) // 3], chr(10)) || chr(10) AS new FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 3)",
     "conversations": "(SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations) WHERE old IS NOT NULL)",
     "documents": "(SELECT * FROM (SELECT doc_id, lag(text) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS old, text AS new FROM documents) WHERE old IS NOT NULL)",
     "pages": "(SELECT * FROM (SELECT page_id, lag(html) OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) AS old, html AS new FROM pages) WHERE old IS NOT NULL)",
