@@ -231,6 +231,68 @@ for _mode in R.MODES:
     _changes(_mode)
 
 
+def _change_rows(pairs, key, changes):
+    c = pairs.select(*key, changes.alias("c"))
+    return c.select(*key, F.size("c").alias("n_changes"), N.stats("c").alias("s"), F.md5(F.to_json("c")).alias("digest")).select(*key, "n_changes", "s.added", "s.removed", "s.unchanged", "digest")
+
+
+def _option(name, tokens, key, **options):
+    """Line changes of document pairs under one option; ``tokens`` of a text and the ``key`` of a token x in SQL."""
+    a, b = tokens.replace("{t}", "old"), tokens.replace("{t}", "new")
+    script = S.script(f"(SELECT doc_id, replace(old, chr(10), chr(13) || chr(10)) AS old, new FROM {DOCS})" if name == "strip_cr" else DOCS, DOC, a, b, *(f"list_transform({c}, lambda x: {key})" for c in "ab"))
+
+    @query(f"changes_lines_{name}", f"WITH RECURSIVE {script}{S.VALUES}, {FOUND} SELECT id.doc_id AS doc_id, n_changes, added, removed, unchanged, md5(to_json(c)::VARCHAR) AS digest FROM {PER_PAIR}")
+    def changes(spark, d):
+        old = F.replace("old", F.lit("\n"), F.lit("\r\n")) if name == "strip_cr" else F.col("old")
+        return _change_rows(P.document_revisions(spark, d).select("doc_id", old.alias("old"), "new"), ["doc_id"], K.changes("lines", "old", "new", **options))
+
+
+_option("ignore_case", SQL_TOKENS["lines"], "lower(x)", ignoreCase=True)
+_option("ignore_whitespace", SQL_TOKENS["lines"], _trimmed("x"), ignoreWhitespace=True)
+# The documents hold no carriage return; a terminator and a line's content are tokens of their own.
+_option("parts", "regexp_extract_all({t}, '\\n|[^\\n]+')", "x", newlineIsToken=True)
+_option("strip_cr", SQL_TOKENS["lines"].replace("{t}", "replace({t}, chr(13) || chr(10), chr(10))"), "x", stripTrailingCr=True)
+
+#: Most edits of a pair in ``changes_words_capped``.
+CAP = 40
+_plain = "SELECT t.id, {'value': t.old, 'added': false, 'removed': true, 'count': len(t.a)::BIGINT} AS gone, {'value': t.new, 'added': true, 'removed': false, 'count': len(t.b)::BIGINT} AS come, s.d FROM t JOIN steps s ON s.id = t.id AND s.done"
+
+
+@query("changes_words_capped", f"{_found('words')} SELECT id.conv_id AS conv_id, id.turn AS turn, len(c)::INTEGER AS n_changes, md5(to_json(c)::VARCHAR) AS digest FROM (SELECT p.id, CASE WHEN w.d > {CAP} THEN list_filter([gone, come], lambda x: x.value <> '') ELSE c END AS c FROM {PER_PAIR} p JOIN ({_plain}) w ON w.id = p.id)")
+def changes_words_capped(spark, d):
+    """Change lists with an edit limit; beyond it the whole text is replaced."""
+    c = P.conversation_revisions(spark, d).select("conv_id", "turn", K.changes("words", "old", "new", maxEditLength=CAP).alias("c"))
+    return c.select("conv_id", "turn", F.size("c").alias("n_changes"), F.md5(F.to_json("c")).alias("digest"))
+
+
+@query(
+    "array_operations",
+    f"WITH RECURSIVE {S.script(TALK, TURN, 'string_split(old, chr(32))', 'string_split(new, chr(32))')} SELECT t.id.conv_id AS conv_id, t.id.turn AS turn, coalesce(string_agg(op || ' ' || n, ',' ORDER BY run), '') AS ops FROM t LEFT JOIN runs r ON r.id = t.id GROUP BY t.id",
+)
+def array_operations(spark, d):
+    """The edit script of any two arrays of strings."""
+    ops = P.conversation_revisions(spark, d).select("conv_id", "turn", K.array_operations(F.split("old", " "), F.split("new", " ")).alias("ops"))
+    return ops.select("conv_id", "turn", F.array_join(F.transform("ops", lambda x: F.concat_ws(" ", x["op"].cast("string"), x["count"].cast("string"))), ",").alias("ops"))
+
+
+_badge = lambda kind, sign: f"""'<span class="diff-stat diff-stat-{kind}"><span aria-hidden="true">{sign}' || {kind} || '</span><span class="diff-sr">' || {kind} || CASE WHEN {kind} = 1 THEN ' character' ELSE ' characters' END || ' {kind}</span></span>'"""
+
+
+@query("render_stats", f"""{_found('words')} SELECT id.conv_id AS conv_id, id.turn AS turn, '<div class="text-diff-stats" data-unit="codepoints">' || {_badge('added', '+')} || {_badge('removed', '−')} || {_badge('unchanged', '=')} || '</div>' AS html FROM {PER_PAIR}""")
+def render_stats(spark, d):
+    return P.conversation_revisions(spark, d).select("conv_id", "turn", N.render_stats(K.statistics("words", "old", "new")).alias("html"))
+
+
+@query("table_functions", f"SELECT conv_id, turn, i::INTEGER AS position, md5(k[i]) AS sentence FROM (SELECT conv_id, turn, k, unnest(range(1, len(k) + 1)) AS i FROM (SELECT conv_id, turn, {_sql_tokens('sentences', 'text')} AS k FROM conversations)) WHERE regexp_replace(k[i], '[{WS}]+', '', 'g') <> ''")
+def table_functions(spark, d):
+    """``sentences_of`` as a LATERAL table function."""
+    from ..functions import sql
+
+    sql.register(spark)
+    spark.read.parquet(f"{d}/conversations.parquet").createOrReplaceTempView("palimpsest_talk")
+    return spark.sql("SELECT conv_id, turn, s.position, md5(s.text) AS sentence FROM palimpsest_talk, LATERAL sentences_of(text) s")
+
+
 def _numbered(side):
     number = _sql_tokens("lines", side)
 
