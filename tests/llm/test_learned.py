@@ -64,6 +64,29 @@ def test_quality_learns_and_scores_every_row(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def slow_score(m, text):
+    """The machine's formula, pair by pair, for one text."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    off = np.array([0, len(raw)])
+    ids, _ = quality.hashed_words(raw, off, quality.BITS)
+    stats = m.rescaled(structure(raw, off))[0]
+    x = {}
+    for i in ids.tolist():
+        x[i] = x.get(i, 0) + quality.WORD_SCALE / len(ids)
+    linear = m.w0 + sum(m.w[i] * v for i, v in x.items()) + sum(m.w[(1 << quality.BITS) + j] * v for j, v in enumerate(stats))
+    feats = [(m.v[i], quality.WORD_SCALE / len(ids)) for i in ids.tolist()] + [(m.v[(1 << quality.BITS) + j], v) for j, v in enumerate(stats)]
+    pairs = sum(float(a @ b) * x1 * x2 for k, (a, x1) in enumerate(feats) for b, x2 in feats[k + 1 :])
+    return 1 / (1 + np.exp(-(linear + pairs)))
+
+
+def test_scores_equal_the_formula_pair_by_pair(spark):
+    rows, labels = labelled()
+    m = quality.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    some = [(k, " ".join(t.split()[:25])) for k, t in rows[:12]] + [(500, None), (501, ""), (502, "one"), (503, "one one ###")]
+    for r in quality.score(table(spark, some), m).collect():
+        assert r.score == pytest.approx(slow_score(m, dict(some)[r.doc_id]), rel=1e-9)
+
+
 def test_empty_labels_and_tables(spark):
     rows, labels = labelled()
     docs, none = table(spark, rows[:20]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
