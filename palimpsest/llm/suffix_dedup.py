@@ -11,7 +11,7 @@ suffixes of the distinct strings it got (told apart by their bytes, not by hashe
 (the enhanced suffix array), and scans them with a stack: each node of the interval
 tree is a set of suffixes with a common prefix. A node whose suffixes differ in the
 byte to their left cannot be extended to either side: a maximal repeat, reported
-with *all* its occurrences. Every occurrence in a document after the repeat's
+with *all* its occurrences (a string that came from several ids is a leaf with as many). Every occurrence in a document after the repeat's
 smallest id is removed; since each repeated window lies in a maximal repeat of
 the same occurrences, nothing is missed.
 
@@ -199,9 +199,15 @@ class SuffixArray:
         self.lcp[1:] = np.minimum(self.lcp[1:], np.minimum(self.rest[1:], self.rest[:-1]))
 
     def repeats(self, low: np.ndarray, high: np.ndarray, least: int):
-        """Arrays (first, last, length, low) of the maximal repeats that span several ids."""
+        """Arrays (first, last, length, low) of the maximal repeats that span several ids.
+
+        A string that itself stands for several ids is a leaf of the tree with several occurrences;
+        it begins where its occurrences do, so the leaf of its whole length is maximal.
+        """
         if not len(self.lcp):
             return (np.zeros(0, np.int64),) * 4
+        leaf = np.flatnonzero((self.offset == 0) & (low < high)[self.string])
+        leaves = leaf, leaf, self.rest[leaf], low[self.string[leaf]]
         # Only suffixes with a long neighbour can be in a node.
         deep = self.lcp >= least
         near = deep.copy()
@@ -211,9 +217,9 @@ class SuffixArray:
         s = self.string[keep]
         found = [(a, b, d, lo) for a, b, d, lo, hi in intervals(lcp.tolist(), self.left[keep].tolist(), low[s].tolist(), high[s].tolist(), least) if lo < hi]
         if not found:
-            return (np.zeros(0, np.int64),) * 4
+            return leaves
         a, b, d, lo = np.array(found, np.int64).T
-        return keep[a], keep[b], d, lo
+        return tuple(np.concatenate(x) for x in zip(leaves, (keep[a], keep[b], d, lo)))
 
 
 #: Bytes of strings that are sorted at a time (more if they share one minimiser).
@@ -243,7 +249,7 @@ def repeats_among(sent: C.Records, length: int) -> tuple[np.ndarray, ...]:
     np.minimum.at(c_low, of, low)
     np.maximum.at(c_high, of, high)
     c_start, c_size, c_anchor = start[first], size[first], anchor[first]
-    # A string that shares no window with another one has none of the k-mer's contexts in common.
+    # A string that occurs once and shares no window with another one has none of the k-mer's contexts in common.
     half = context - KMER
     a = c_start + c_anchor
     has_left, has_right = c_anchor >= half, c_anchor + context <= c_size
@@ -254,9 +260,7 @@ def repeats_among(sent: C.Records, length: int) -> tuple[np.ndarray, ...]:
     del h
     base = np.cumsum(c_size - length + 1) - (c_size - length + 1)
     best = np.full(int((c_size - length + 1).sum()), C.NULL_ID)
-    whole = np.flatnonzero(c_low < c_high)  # the string itself repeats
-    best[gather(base[whole], c_size[whole] - length + 1)] = np.repeat(c_low[whole], c_size[whole] - length + 1)
-    k = np.flatnonzero(mate)
+    k = np.flatnonzero(mate | (c_low < c_high))
     if len(k):
         sa = SuffixArray(data, c_start[k], c_size[k], length)
         f, last, depth, lo = sa.repeats(c_low[k], c_high[k], length)
