@@ -8,9 +8,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import tidy
 from .columns import ALNUM_WORDS, ASCII_LOWER, SPACE_WORDS, body_buffers, slices, split_words
 from .shared import kept
 from .superkmer_dedup import word_hashes
@@ -124,13 +126,17 @@ def packs(features, n_labels: int):
     return run
 
 
-def unpacked_sample(blobs: list[bytes], y: np.ndarray) -> Sample:
-    ids, counts, dense = [np.zeros(0, np.int64)], [np.zeros(0)], []
-    for b in blobs:
-        n = int(np.frombuffer(b, np.int64, 1)[0])
-        pair = np.frombuffer(b, np.int32, 2 * n, 8)
-        ids.append(pair[:n].astype(np.int64)), counts.append(pair[n:].astype(np.float64)), dense.append(np.frombuffer(b, np.float64, -1, 8 + 8 * n))
-    return Sample(np.concatenate(ids), np.concatenate(counts), np.cumsum([len(x) for x in ids]), np.array(dense, np.float64).reshape(len(blobs), -1), y)
+def unpacked_sample(packs: pa.Array, order: np.ndarray, y: np.ndarray) -> Sample:
+    """The features of rows in an order, in 32 bits each."""
+    views = [memoryview(packs[int(k)].as_buffer()) for k in order]
+    size = np.array([int(np.frombuffer(v, np.int64, 1)[0]) for v in views], np.int64)
+    cut = np.concatenate(([0], np.cumsum(size)))
+    ids, counts = np.empty(cut[-1], np.int32), np.empty(cut[-1], np.float32)
+    for v, n, at in zip(views, size.tolist(), cut.tolist()):
+        ids[at : at + n] = np.frombuffer(v, np.int32, n, 8)
+        counts[at : at + n] = np.frombuffer(v, np.int32, n, 8 + 4 * n)
+    dense = np.array([np.frombuffer(v, np.float64, -1, 8 + 8 * n) for v, n in zip(views, size.tolist())], np.float64)
+    return Sample(ids, counts, cut, dense.reshape(len(views), -1), y[order])
 
 
 def learned(sample: DataFrame, features, n_labels: int, fit: Callable[[Sample], object], limit: int = FEATURE_BYTES):
@@ -153,9 +159,11 @@ def learned(sample: DataFrame, features, n_labels: int, fit: Callable[[Sample],
     chosen = rows.filter((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("id") <= F.lit(last.id)))
 
     def run(table):
-        table = table.sort_by([("place", "ascending"), ("id", "ascending")])
+        order = pc.sort_indices(table.select(["place", "id"]), [("place", "ascending"), ("id", "ascending")]).to_numpy()
         y = np.array([table.column(n).to_pylist() for n in names], np.float64).T.reshape(table.num_rows, n_labels)
-        return pa.table([pa.array([pickle.dumps(fit(unpacked_sample(table.column("pack").to_pylist(), y)))], pa.binary())], ["model"])
+        sample = unpacked_sample(table.column("pack").combine_chunks(), order, y)
+        del table
+        return tidy(pa.table([pa.array([pickle.dumps(fit(sample))], pa.binary())], ["model"]))
 
     return pickle.loads(bytes(chosen.groupBy(F.lit("all").alias("group")).applyInArrow(run, "model binary").first()[0]))
 

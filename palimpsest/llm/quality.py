@@ -68,7 +68,7 @@ class Machine:
         p = np.clip(y.mean(), 0.01, 0.99)
         self.w0 = float(np.log(p / (1 - p)))
         total = np.maximum(np.add.reduceat(np.append(counts, 0.0), cut[:-1]) * (np.diff(cut) > 0), 1)
-        x_all = counts * np.repeat(WORD_SCALE / total, np.diff(cut))
+        x_all = counts * np.repeat((WORD_SCALE / total).astype(np.float32), np.diff(cut))
         r, base = np.random.Generator(np.random.PCG64(seed)), 1 << BITS
         theta = np.concatenate((self.w[:, None], self.v), axis=1)
         m, s, t = np.zeros_like(theta), np.zeros_like(theta), 0

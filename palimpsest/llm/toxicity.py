@@ -57,7 +57,7 @@ class Linear:
         if not n or y.min() == y.max():
             self.b = -4.0 if not n or y[0] < 0.5 else 4.0
             return self
-        keep = telling(ids, np.repeat(y, np.diff(cut)), y)[ids]
+        keep = telling(ids, np.repeat(y.astype(np.int8), np.diff(cut)), y)[ids]
         cut = np.concatenate(([0], np.cumsum(keep)))[cut]
         ids = ids[keep]
         r = np.random.Generator(np.random.PCG64(seed))
@@ -110,7 +110,7 @@ def telling(ids: np.ndarray, y_of: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Marks the features whose presence depends on ``y`` most (chi-square of the 2 x 2 table)."""
     n, pos = len(y), y.sum()
     here = np.bincount(ids, minlength=1 << BITS).astype(np.float64)
-    both = np.bincount(ids, y_of, 1 << BITS)
+    both = np.bincount(ids[y_of > 0], minlength=1 << BITS)
     expected = here * pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.nan_to_num((both - expected) ** 2 / (expected * (1 - here / n) * (1 - pos / n)))
@@ -163,7 +163,7 @@ def kinds(ids: np.ndarray, cut: np.ndarray, y: np.ndarray, n: int = KINDS, round
     out = np.zeros((len(y), n))
     if not len(y) or y.min() == y.max():
         return out
-    columns = np.flatnonzero(telling(ids, np.repeat(y, np.diff(cut)), y))
+    columns = np.flatnonzero(telling(ids, np.repeat(y.astype(np.int8), np.diff(cut)), y))
     rows = np.flatnonzero(y)
     flat, c = rows_of(ids, cut, rows)
     of = np.repeat(np.arange(len(rows)), np.diff(c))
