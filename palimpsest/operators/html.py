@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import deque
 from html.entities import name2codepoint
+from itertools import takewhile
+from operator import attrgetter
 from typing import NamedTuple
 
 from ..functions import rules as R
@@ -256,65 +259,67 @@ def unpaired(run: list[Token]) -> int:
     return stray + len(opens)
 
 
+def reach(a, b) -> int:
+    """How many tokens in a row have the same keys."""
+    return sum(1 for _ in takewhile(lambda p: p[0].key == p[1].key, zip(a, b)))
+
+
 def slide(run: list[Item]) -> list[Item]:
-    """Shifts one-sided changes along equal tokens where that leaves fewer unpaired tags."""
-    out, k = list(run), 0
-    while k < len(out):
-        it = out[k]
-        if it.same or bool(it.old) == bool(it.new):
-            k += 1
+    """Shifts one-sided changes along equal tokens where that leaves fewer unpaired tags.
+
+    Items go from ``todo`` to ``done``; what a shift does to both neighbours is settled before
+    the next item is looked at. Of the places that a change can take, the one with the fewest
+    unpaired tags counts, its own one first, then the nearest, then the left one.
+    """
+    done: list[Item] = []
+    todo = deque(run)
+    while todo:
+        item = todo.popleft()
+        if item.same or bool(item.old) == bool(item.new):
+            done.append(item)
             continue
-        side, other = (1, 2) if it.old else (2, 1)
-        before = out[k - 1] if k and out[k - 1].same else None
-        after = out[k + 1] if k + 1 < len(out) and out[k + 1].same else None
-        ahead, behind = (before[side] if before else []), (after[side] if after else [])
-        line, size, home = ahead + it[side] + behind, len(it[side]), len(ahead)
-        far_left = out[k - 2][side] if before and k >= 2 else None
-        far_right = out[k + 2][side] if after and k + 2 < len(out) else None
-
-        def cost(at: int) -> int:
-            window, rest = line[at : at + size], 0
-            if far_left is not None:
-                window, rest = (far_left + window, rest) if at == 0 else (window, rest + unpaired(far_left))
-            if far_right is not None:
-                window, rest = (window + far_right, rest) if at + size == len(line) else (window, rest + unpaired(far_right))
-            return unpaired(window) + rest
-
-        lefts, at = [], home
-        while at >= 1 and line[at - 1].key == line[at + size - 1].key:
-            at -= 1
-            lefts.append(at)
-        rights, at = [], home
-        while at + size < len(line) and line[at].key == line[at + size].key:
-            at += 1
-            rights.append(at)
-        best = home
-        if lefts or rights:
-            least = cost(home)
-            for at in lefts + rights:
-                c = cost(at)
-                nearer = (abs(at - home), at) < (abs(best - home), best)
-                if c < least or (c == least and best != home and nearer):
-                    best, least = at, c
+        mine = attrgetter("old" if item.old else "new")
+        mates = attrgetter("new" if item.old else "old")
+        before = done[-1:] if done and done[-1].same else []
+        after = [todo[0]] if todo and todo[0].same else []
+        ahead, behind = ([t for x in xs for t in mine(x)] for xs in (before, after))
+        line, home, size = ahead + mine(item) + behind, len(ahead), len(mine(item))
+        left = [mine(done[-2])] if before and len(done) > 1 else []
+        right = [mine(todo[1])] if after and len(todo) > 1 else []
+
+        def strays(at: int) -> int:
+            """Unpaired tags of the change at a place and of the changes around, which it joins at the ends."""
+            window = line[at : at + size]
+            apart = []
+            for side, touches, order in ((left, at == 0, 1), (right, at + size == len(line), -1)):
+                if touches:
+                    window = [t for part in [*side, window][::order] for t in part]
+                else:
+                    apart += side
+            return unpaired(window) + sum(map(unpaired, apart))
+
+        first = home - reach(reversed(line[:home]), reversed(line[: home + size]))
+        last = home + reach(line[home:], line[home + size :])
+        best = home if first == last else min(range(first, last + 1), key=lambda at: (strays(at), at != home, abs(at - home), at))
         if best == home:
-            k += 1
+            done.append(item)
             continue
-        mates = (before[other] if before else []) + (after[other] if after else [])
-        make = lambda same, mine, its: Item(same, mine, its) if side == 1 else Item(same, its, mine)
-        head, tail = make(True, line[:best], mates[:best]), make(True, line[best + size :], mates[best:])
-        moved = make(False, line[best : best + size], [])
-        front, back = out[: k - 1 if before else k], out[k + 2 if after else k + 1 :]
-        if head.old:
-            front.append(head)
-        elif front and not front[-1].same:
-            moved = joined(front.pop(), moved)
-        if tail.old:
-            back.insert(0, tail)
-        elif back and not back[0].same:
-            moved = joined(moved, back.pop(0))
-        k = len(front) + 1
-        out = [*front, moved, *back]
-    return out
+        other = [t for x in (*before, *after) for t in mates(x)]
+        pair = (lambda own, their, same: Item(same, own, their)) if item.old else (lambda own, their, same: Item(same, their, own))
+        del done[len(done) - len(before) :]
+        if after:
+            todo.popleft()
+        moved = pair(line[best : best + size], [], False)
+        if best:
+            done.append(pair(line[:best], other[:best], True))
+        elif done and not done[-1].same:
+            moved = joined(done.pop(), moved)
+        if best + size < len(line):
+            todo.appendleft(pair(line[best + size :], other[best:], True))
+        elif todo and not todo[0].same:
+            moved = joined(moved, todo.popleft())
+        done.append(moved)
+    return done
 
 
 def text_size(run: list[Token]) -> int:
