@@ -407,6 +407,56 @@ views AS (
 
 
 UNIFIED_SQL = f"""{ROWS},{MOVES},{MOVED},{_unified_sql(True)} SELECT id.doc_id AS doc_id, md5('<div class="text-diff-with-minimap">' || html || minimap || '</div>') AS digest FROM views"""
+#: From ``ready``: ``beside``, the rows of the split view, with the parts of both lines where they are compared.
+_solid_sum = lambda x: f"length(regexp_replace({x}, '[{WS}]+', '', 'g'))"
+BESIDE = f"""
+fresh AS (SELECT *, CASE WHEN type NOT IN ('removed', 'added') OR coalesce(lag(type) OVER {_by_row}, 'equal') NOT IN ('removed', 'added') THEN 1 ELSE 0 END AS apart FROM ready),
+numbered AS (SELECT *, sum(apart) OVER {_by_row} AS run FROM fresh),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id, run, type ORDER BY row_no) AS place FROM numbered),
+sides AS MATERIALIZED (
+  SELECT coalesce(l.id, r.id) AS id, coalesce(l.run, r.run) AS run, coalesce(l.place, r.place) AS place, coalesce(l.block, r.block) AS block, coalesce(l.shown, r.shown) AS shown, coalesce(l.altered, r.altered) AS altered,
+    CASE WHEN l.type IS NULL THEN r.type WHEN r.type IS NULL THEN l.type WHEN l.type = 'equal' THEN 'equal' ELSE 'modified' END AS type, l.type AS lk, l.old_no AS ln, l.text AS lt, r.type AS rk, r.new_no AS rn, r.text AS rt,
+    coalesce(l.move, r.move) AS move, coalesce(l.other, r.other) AS other, coalesce(l.first, r.first) AS first, coalesce(l.starts, false) OR coalesce(r.starts, false) AS starts, coalesce(l.index, r.index) AS index
+  FROM (SELECT * FROM placed WHERE old_no IS NOT NULL) l FULL JOIN (SELECT * FROM placed WHERE new_no IS NOT NULL) r ON l.id = r.id AND l.run = r.run AND l.place = r.place),
+alike AS MATERIALIZED (
+  WITH RECURSIVE {S.script("(SELECT id, run, place, lt AS old, rt AS new FROM sides WHERE type = 'modified' AND length(lt) <= 1000 AND length(rt) <= 1000)", "{'id': id, 'run': run, 'place': place}", _sql_tokens('wordsWithSpace', 'old'), _sql_tokens('wordsWithSpace', 'new'))}{S.VALUES},
+  same AS (SELECT id, sum({_solid_sum('value')}) AS same FROM found WHERE op = 0 GROUP BY id),
+  near AS (SELECT t.id FROM t LEFT JOIN same USING (id) WHERE {_solid_sum('old')} + {_solid_sum('new')} = 0 OR 2 * coalesce(same, 0) / ({_solid_sum('old')} + {_solid_sum('new')})::DOUBLE >= 0.3)
+  SELECT n.id.id AS id, n.id.run AS run, n.id.place AS place,
+    coalesce(list({{'value': value, 'added': false, 'removed': op < 0, 'count': f.n}} ORDER BY f.run) FILTER (op <= 0), []) AS lp, coalesce(list({{'value': value, 'added': op > 0, 'removed': false, 'count': f.n}} ORDER BY f.run) FILTER (op >= 0), []) AS rp
+  FROM near n LEFT JOIN found f ON f.id = n.id GROUP BY n.id),
+beside AS MATERIALIZED (SELECT s.*, lp, rp FROM sides s LEFT JOIN alike a ON a.id = s.id AND a.run = s.run AND a.place = s.place)"""
+
+
+def _cell_json(side: str) -> str:
+    kind, no, text, parts = (side + x for x in ("k", "n", "t", "p"))
+    return f"""'{{{{"type":"' || {kind} || '","lineNo":' || {no} || ',"text":' || to_json({text})::VARCHAR || coalesce(',"parts":' || to_json({parts})::VARCHAR, '') || '}}}}'""".replace("{{", "{").replace("}}", "}")
+
+
+SPLIT_HUNKS_SQL = f"""{ROWS},{STILL},{_unified_sql(False)},{BESIDE},
+row_json AS (SELECT id, block, run, place, '{{"type":"' || type || '"' || coalesce(',"left":' || {_cell_json('l')}, '') || coalesce(',"right":' || {_cell_json('r')}, '') || '}}' AS row FROM beside WHERE shown),
+open_json AS (SELECT id, block, string_agg(row, ',' ORDER BY run, place) AS rows FROM row_json GROUP BY id, block),
+closed_json AS (SELECT id, block, any_value(shown) AS shown, count(*) AS n, count(old_no) AS olds, count(new_no) AS news, string_agg('{{"type":"' || type || '"' || coalesce(',"oldNo":' || old_no, '') || coalesce(',"newNo":' || new_no, '') || ',"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY row_no) AS hidden FROM ready GROUP BY id, block),
+at_json AS (SELECT *, 1 + coalesce(sum(olds) OVER b, 0) AS o, 1 + coalesce(sum(news) OVER b, 0) AS w FROM closed_json WINDOW b AS (PARTITION BY id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+block_json AS (SELECT a.id, a.block, CASE WHEN a.shown THEN '{{"type":"hunk","oldStart":' || o || ',"oldLines":' || olds || ',"newStart":' || w || ',"newLines":' || news || ',"rows":[' || rows || ']}}' ELSE '{{"type":"collapsed","oldStart":' || o || ',"newStart":' || w || ',"count":' || n || ',"hidden":[' || hidden || ']}}' END AS j FROM at_json a LEFT JOIN open_json r ON r.id = a.id AND r.block = a.block)
+SELECT t.id.doc_id AS doc_id, md5('[' || coalesce(string_agg(j, ',' ORDER BY block), '') || ']') AS digest FROM t LEFT JOIN block_json b ON b.id = t.id GROUP BY t.id"""
+
+
+def _cell_html(side: str, which: str) -> str:
+    kind, no, text, parts = (side + x for x in ("k", "n", "t", "p"))
+    away = "from" if side == "l" else "to"
+    there = "to" if side == "l" else "from"
+    name = f"CASE WHEN {kind} LIKE 'moved%' THEN 'line ' || {no} || ' moved {there} line ' || other ELSE {kind} || ' line ' || {no} END"
+    line = f"CASE WHEN {parts} IS NULL THEN {_escaped(text)} ELSE array_to_string(list_transform(list_filter({parts}, lambda x: x.value <> ''), lambda x: '<span' || CASE WHEN x.added THEN ' class=\"diff-added\"' WHEN x.removed THEN ' class=\"diff-removed\"' ELSE '' END || '>' || {_escaped('x.value')} || '</span>'), '') END"
+    link = f"CASE WHEN {kind} = 'moved-{away}' THEN '<a class=\"diff-move-link\"' || CASE WHEN first THEN ' id=\"td-move-' || move || '-{away}\"' ELSE '' END || ' href=\"#td-move-' || move || '-{there}\">moved {there} line ' || other || '</a>' ELSE '' END"
+    return f"""CASE WHEN {kind} IS NULL THEN '<div class="diff-cell diff-cell-{which} diff-cell-empty"></div>' ELSE '<div class="diff-cell diff-cell-{which}' || CASE WHEN {kind} = 'equal' THEN '"' ELSE ' diff-cell-' || {kind} || '" role="group" aria-label="' || {name} || '"' END || '><span class="diff-gutter">' || {no} || '</span><span class="diff-sign" aria-hidden="true">' || CASE {kind} WHEN 'equal' THEN ' ' WHEN 'removed' THEN '−' WHEN 'moved-from' THEN '−' ELSE '+' END || '</span><span class="diff-line">' || {line} || '</span>' || {link} || '</div>' END"""
+
+
+SPLIT_VIEW_SQL = f"""{ROWS},{MOVES},{MOVED},{_unified_sql(True)},{BESIDE},
+split_rows AS (SELECT id, block, run, place, shown, altered, '<div class="diff-row diff-row-' || type || coalesce(' diff-move-' || move % 6, '') || '"' || CASE WHEN starts THEN ' id="td-change-' || index || '"' ELSE '' END || coalesce(' data-move="' || move || '"', '') || CASE WHEN starts THEN ' data-change-index="' || index || '"' ELSE '' END || '>' || {_cell_html('l', 'old')} || {_cell_html('r', 'new')} || '</div>' AS html FROM beside),
+split_blocks AS (SELECT id, block, CASE WHEN any_value(shown) THEN string_agg(html, '' ORDER BY run, place) ELSE '<div class="diff-row diff-row-collapsed">' || count(*) || ' unchanged lines</div>' END AS html FROM split_rows WHERE altered GROUP BY id, block),
+split_views AS (SELECT id, string_agg(html, '' ORDER BY block) AS body FROM split_blocks GROUP BY id)
+SELECT v.id.doc_id AS doc_id, md5('<div class="text-diff-with-minimap"><div class="text-diff text-diff-split">' || coalesce(body, '<div class="diff-empty">No changes</div>') || '</div>' || minimap || '</div>') AS digest FROM views v LEFT JOIN split_views s ON s.id = v.id"""
 _count = lambda kind: f"(SELECT count(*) FROM lines l WHERE l.id = v.id AND l.type = '{kind}')"
 
 
@@ -437,7 +487,7 @@ def split_rows(spark, d):
     return shown.withColumn("left_text", F.md5("left_text")).withColumn("right_text", F.md5("right_text")).withColumn("left_no", F.col("left_no").cast("string")).withColumn("right_no", F.col("right_no").cast("string"))
 
 
-@query("split_hunks")
+@query("split_hunks", SPLIT_HUNKS_SQL)
 def split_hunks(spark, d):
     return P.document_revisions(spark, d).select("doc_id", F.md5(F.to_json(K.split_hunks("old", "new"))).alias("digest"))
 
@@ -520,6 +570,7 @@ def _spans_sql(before: str, after: str, style: str) -> str:
 
 VIEW_SQL = {
     "unified": UNIFIED_SQL,
+    "split": SPLIT_VIEW_SQL,
     "words": _spans_sql('<div class="text-diff text-diff-words">', "</div>", ""),
     "playback_words": _spans_sql(
         '<div class="text-diff-playback-wrap"><input class="diff-replay-input" type="checkbox" id="td-replay"><label class="diff-replay" for="td-replay">Replay</label><div class="text-diff text-diff-words text-diff-playback">',
