@@ -356,10 +356,11 @@ SELECT id.doc_id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY first)
 
 
 #: Blocks are taken from all like pairs of lines, the longest first; each round drops the rows of the block it took.
-MOVES = f"""
-changed AS (SELECT *, {_prepared('text')} AS plain, count(*) FILTER (type = 'equal') OVER {_by_row} AS region FROM lines),
-few AS (SELECT id FROM changed GROUP BY id HAVING count(*) FILTER (type = 'removed') * count(*) FILTER (type = 'added') <= 1000000),
-likes AS (SELECT a.id, a.row_no AS i, b.row_no AS j, a.plain = '' AS blank FROM changed a JOIN changed b ON a.id = b.id AND a.plain = b.plain AND a.region <> b.region JOIN few ON few.id = a.id WHERE a.type = 'removed' AND b.type = 'added'),
+CHANGED = f"""
+changed AS (SELECT *, length(replace(plain, ' ', '')) AS solid, regexp_extract_all(plain, '[{W}]+|[^{W} ]') AS words, count(*) FILTER (type = 'equal') OVER {_by_row} AS region FROM (SELECT *, {_prepared('text')} AS plain FROM lines)),
+few AS (SELECT id, count(*) FILTER (type = 'removed') * count(*) FILTER (type = 'added') AS pairs FROM changed GROUP BY id HAVING pairs <= 1000000),
+likes AS (SELECT a.id, a.row_no AS i, b.row_no AS j, a.plain = '' AS blank FROM changed a JOIN changed b ON a.id = b.id AND a.plain = b.plain AND a.region <> b.region JOIN few ON few.id = a.id WHERE a.type = 'removed' AND b.type = 'added')"""
+ROUNDS = """,
 rounds AS (
   SELECT id, i, j, blank, 0::BIGINT AS size FROM likes
   UNION ALL
@@ -370,9 +371,18 @@ rounds AS (
   SELECT id, i, j, false, size::BIGINT FROM best
   UNION ALL
   SELECT c.id, c.i, c.j, c.blank, 0::BIGINT FROM rounds c JOIN best b ON b.id = c.id WHERE c.size = 0 AND c.i NOT BETWEEN b.i AND b.i + b.size - 1 AND c.j NOT BETWEEN b.j AND b.j + b.size - 1))"""
-MOVES_SQL = f"""{_rows(P.PAIRS_SQL['rotated'])},{MOVES}
+MOVES = CHANGED + ROUNDS
+#: Pairs of similar lines besides the equal ones; each two texts are compared once.
+NEAR_MOVES = f"""{CHANGED.replace('likes AS', 'equals AS')},
+texts AS MATERIALIZED (SELECT DISTINCT a.plain AS old, b.plain AS new FROM changed a JOIN changed b ON a.id = b.id AND a.region <> b.region JOIN few ON few.id = a.id WHERE few.pairs <= 250000 AND a.type = 'removed' AND b.type = 'added' AND a.plain <> '' AND b.plain <> '' AND a.plain <> b.plain
+  AND least(a.solid, b.solid) >= 0.3 * (a.solid + b.solid) AND list_has_any(a.words, b.words)),
+kin AS MATERIALIZED (SELECT id.old AS old, id.new AS new FROM ({_similarity_sql('texts', "{'old': old, 'new': new}")}) WHERE similarity >= 0.6),
+likes AS (SELECT * FROM equals UNION ALL SELECT a.id, a.row_no, b.row_no, false FROM kin s JOIN changed a ON a.plain = s.old AND a.type = 'removed' JOIN changed b ON b.id = a.id AND b.plain = s.new AND b.type = 'added' AND a.region <> b.region JOIN few ON few.id = a.id WHERE few.pairs <= 250000){ROUNDS}"""
+BLOCKS_MOVED = """
 SELECT r.id.doc_id AS doc_id, (row_number() OVER (PARTITION BY r.id ORDER BY r.j) - 1)::INTEGER AS id, x.old_no::INTEGER AS "oldStart", y.new_no::INTEGER AS "newStart", r.size::INTEGER AS lines
 FROM rounds r JOIN lines x ON x.id = r.id AND x.row_no = r.i JOIN lines y ON y.id = r.id AND y.row_no = r.j WHERE r.size > 0"""
+MOVES_SQL = _rows(P.PAIRS_SQL["rotated"].replace("{mark}", "")) + "," + MOVES + BLOCKS_MOVED
+NEAR_MOVES_SQL = _rows(P.PAIRS_SQL["rotated"].replace("{mark}", " and so on")) + "," + NEAR_MOVES + BLOCKS_MOVED
 
 
 #: Rows with their moves: the other side's line, and the move's number by new place.
@@ -497,7 +507,7 @@ def moves(spark, d):
     return P.rotated_documents(spark, d).select("doc_id", F.inline(K.moves("old", "new", detectMoves=True)))
 
 
-@query("moves_near")
+@query("moves_near", NEAR_MOVES_SQL)
 def moves_near(spark, d):
     return P.rotated_documents(spark, d, " and so on").select("doc_id", F.inline(K.moves("old", "new", moveSimilarity=0.6)))
 

@@ -93,7 +93,7 @@ def fixture_cases(spark: SparkSession, path: str) -> DataFrame:
 
 #: The same pairs in SQL.
 PAIRS_SQL = {
-    "rotated": "(SELECT doc_id, array_to_string(l, chr(10)) || chr(10) AS old, array_to_string(l[len(l) - len(l) // 3 + 1:] || l[:len(l) - len(l) // 3], chr(10)) || chr(10) AS new FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 3)",
+    "rotated": "(SELECT doc_id, array_to_string(l, chr(10)) || chr(10) AS old, array_to_string(list_transform(l[len(l) - len(l) // 3 + 1:], lambda x: x || '{mark}') || l[:len(l) - len(l) // 3], chr(10)) || chr(10) AS new FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 3)",
     "conversations": "(SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations) WHERE old IS NOT NULL)",
     "documents": "(SELECT * FROM (SELECT doc_id, lag(text) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS old, text AS new FROM documents) WHERE old IS NOT NULL)",
     "pages": "(SELECT * FROM (SELECT page_id, lag(html) OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) AS old, html AS new FROM pages) WHERE old IS NOT NULL)",
