@@ -523,7 +523,61 @@ _similarity("similarity_documents", P.document_revisions, ("doc_id",), False)
 _similarity("similarity_html", P.page_revisions, ("page_id",), True)
 
 
-@query("heatmap")
+_level = lambda s: f"CASE WHEN {s} >= 1 THEN 0 WHEN {s} >= 0.75 THEN 1 WHEN {s} >= 0.5 THEN 2 WHEN {s} >= 0.25 THEN 3 ELSE 4 END"
+_solid_only = lambda c: f"list_filter({_sql_tokens('sentences', c)}, lambda x: regexp_replace(x, '[{WS}]+', '', 'g') <> '')"
+_row_of = lambda k: f"list_reduce(list_transform(range(1, m + 1), lambda j: [j::DOUBLE]), lambda row, x: list_append(row, greatest(row[x[1]::INT], above[x[1]::INT + 1], coalesce(above[x[1]::INT] + {k}[x[1]::INT], 0))), [0.0::DOUBLE])"
+#: Sentences of a pair aligned by similarity: ``told`` (id, j, i, s, gone): each new sentence with the old one that it goes with
+#: (null: none), and ``lost`` (id, j, i): old ones without a partner and the new sentence that they stand before. Sides of over
+#: 500 sentences, which are aligned by equality alone, do not occur in the conversations.
+ALIGNED = f"""sides AS MATERIALIZED (SELECT {TURN} AS id, old, new, {_solid_only('old')} AS a, {_solid_only('new')} AS b FROM {TALK}),
+heads AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(a), len(b))), lambda q: a[q + 1] <> b[q + 1])), least(len(a), len(b))) AS head FROM sides),
+tails AS (SELECT *, least(len(a), len(b)) - head AS room, coalesce(list_min(list_filter(range(0, least(len(a), len(b)) - head), lambda q: a[len(a) - q] <> b[len(b) - q])), least(len(a), len(b)) - head) AS tail FROM heads),
+cores AS MATERIALIZED (SELECT *, len(a) - head - tail AS n, len(b) - head - tail AS m FROM tails),
+texts AS MATERIALIZED (SELECT DISTINCT a[head + i] AS old, b[head + j] AS new FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM cores))),
+alike AS MATERIALIZED (SELECT id.old AS old, id.new AS new, similarity AS s FROM ({_similarity_sql('texts', "{'old': old, 'new': new}")})),
+weights AS MATERIALIZED (SELECT id, i, any_value(n) AS n, any_value(m) AS m, list(CASE WHEN s >= 0.5 THEN s END ORDER BY j) AS w FROM (SELECT c.*, x.s FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM cores)) c JOIN alike x ON x.old = c.a[c.head + c.i] AND x.new = c.b[c.head + c.j]) GROUP BY id, i),
+sums AS (
+  SELECT id, 0::BIGINT AS i, n, m, list_transform(range(0, m + 1), lambda x: 0::DOUBLE) AS best FROM cores WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT s.id, s.i + 1, s.n, s.m, {_row_of('w.w').replace('above', 's.best').replace('range(1, m + 1)', 'range(1, s.m + 1)')} FROM sums s JOIN weights w ON w.id = s.id AND w.i = s.i + 1),
+steps_back AS (
+  SELECT id, n AS i, m AS j, false AS hit FROM cores WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT id, CASE WHEN hit OR up THEN i - 1 ELSE i END, CASE WHEN hit OR NOT up THEN j - 1 ELSE j END, hit
+  FROM (SELECT t.id, t.i, t.j, coalesce(h.best[t.j + 1] = g.best[t.j] + w.w[t.j], false) AS hit, h.best[t.j + 1] = g.best[t.j + 1] AS up
+    FROM steps_back t JOIN sums h ON h.id = t.id AND h.i = t.i JOIN sums g ON g.id = t.id AND g.i = t.i - 1 JOIN weights w ON w.id = t.id AND w.i = t.i WHERE t.i > 0 AND t.j > 0)),
+bounds AS (SELECT id, i + 1 AS i, j + 1 AS j FROM steps_back WHERE hit UNION ALL SELECT id, n + 1, m + 1 FROM cores),
+spans AS (SELECT *, coalesce(lag(i) OVER w, 0) AS pi, coalesce(lag(j) OVER w, 0) AS pj FROM bounds WINDOW w AS (PARTITION BY id ORDER BY i, j)),
+couples AS (
+  SELECT id, i, j FROM spans UNION ALL
+  SELECT id, pi + q, pj + q FROM (SELECT *, unnest(range(1, least(i - pi, j - pj))) AS q FROM spans)),
+told AS MATERIALIZED (
+  SELECT c.id, p.j AS j, k.i, CASE WHEN p.j <= c.head OR p.j > c.head + c.m THEN 1.0 ELSE x.s END::DOUBLE AS s
+  FROM (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM cores) p JOIN cores c ON c.id = p.id LEFT JOIN couples k ON k.id = p.id AND k.j = p.j - c.head AND k.j <= c.m LEFT JOIN alike x ON x.old = c.a[c.head + k.i] AND x.new = c.b[c.head + k.j]),
+lost AS MATERIALIZED (SELECT s.id, s.j + c.head AS j, s.pi + q + c.head AS i FROM (SELECT *, unnest(range(least(i - pi, j - pj), i - pi)) AS q FROM spans) s JOIN cores c ON c.id = s.id)"""
+HEAT_SQL = f"""WITH RECURSIVE {ALIGNED}
+SELECT c.id.conv_id AS conv_id, c.id.turn AS turn, {', '.join(f"(SELECT count(*) FROM told t WHERE t.id = c.id AND coalesce({_level('s')}, 4) = {k})::INTEGER AS heat_{k}" for k in range(5))}, (SELECT count(*) FROM lost l WHERE l.id = c.id)::INTEGER AS removed, false AS exact FROM cores c"""
+
+
+_heat_key = lambda k, name: f"""'<li class="diff-heat-key" data-heat="{k}"><span class="diff-heat-swatch" aria-hidden="true"></span>{name} (' || count(*) FILTER (kind = 'sentence' AND heat = {k}) || ')</li>'"""
+_heat_names = ("unchanged", "lightly edited", "edited", "heavily edited", "rewritten or new")
+HEAT_VIEW_SQL = f"""WITH RECURSIVE {ALIGNED},
+pieces AS (SELECT id, p, k[p] AS text, regexp_replace(k[p], '[{WS}]+', '', 'g') <> '' AS solid FROM (SELECT *, unnest(range(1, len(k) + 1)) AS p FROM (SELECT id, {_sql_tokens('sentences', 'new')} AS k FROM sides))),
+counted_pieces AS (SELECT *, CASE WHEN solid THEN count(*) FILTER (solid) OVER (PARTITION BY id ORDER BY p ROWS UNBOUNDED PRECEDING) END AS j FROM pieces),
+events AS (
+  SELECT c.id, c.p, 1 AS part, 0::BIGINT AS i, CASE WHEN solid THEN 'sentence' ELSE 'gap' END AS kind, c.text, t.i IS NULL AS added, t.s, CASE WHEN solid THEN {_level('t.s')} END AS heat FROM counted_pieces c LEFT JOIN told t ON t.id = c.id AND t.j = c.j
+  UNION ALL
+  SELECT l.id, coalesce(c.p, 2147483647), 0, l.i, 'removed', s.a[l.i], false, NULL, NULL FROM lost l JOIN sides s ON s.id = l.id LEFT JOIN counted_pieces c ON c.id = l.id AND c.j = l.j),
+numbered AS (SELECT *, kind = 'removed' OR heat > 0 AS changed, count(*) FILTER (kind = 'removed' OR heat > 0) OVER (PARTITION BY id ORDER BY p, part, i ROWS UNBOUNDED PRECEDING) - 1 AS index,
+  CASE WHEN added AND s IS NULL THEN 'new sentence' ELSE CASE heat WHEN 4 THEN 'rewritten' {' '.join(f"WHEN {k} THEN '{_heat_names[k]}'" for k in range(4))} END || ', ' || greatest(1, 100 - floor(s * 100 + 0.5)::BIGINT) || '% changed' END AS label FROM events)
+SELECT c.id.conv_id AS conv_id, c.id.turn AS turn, md5('<div class="text-diff text-diff-heatmap"><div class="diff-heat-text">' || coalesce(string_agg(
+  CASE WHEN kind = 'gap' THEN '<span>' || {_escaped('text')} || '</span>' WHEN kind = 'removed' THEN '<span class="diff-heat-removed" data-change-index="' || index || '" title="removed sentence"><span class="diff-sr">removed sentence: </span>' || {_escaped('text')} || '</span>'
+    WHEN heat = 0 THEN '<span class="diff-heat" data-heat="0">' || {_escaped('text')} || '</span>' ELSE '<span class="diff-heat" data-heat="' || heat || '" data-change-index="' || index || '" title="' || label || '">' || {_escaped('text')} || '<span class="diff-sr"> (' || label || ')</span></span>' END, '' ORDER BY p, part, i), '')
+  || '</div><ul class="diff-heat-legend" aria-label="Heat legend">' || {' || '.join(_heat_key(k, n) for k, n in enumerate(_heat_names))} || '<li class="diff-heat-key diff-heat-key-removed"><span class="diff-heat-swatch" aria-hidden="true"></span>removed (' || count(*) FILTER (kind = 'removed') || ')</li></ul></div>') AS digest
+FROM cores c LEFT JOIN numbered e ON e.id = c.id GROUP BY c.id"""
+
+
+@query("heatmap", HEAT_SQL)
 def heatmap(spark, d):
     h = P.conversation_revisions(spark, d).select("conv_id", "turn", K.heatmap("old", "new").alias("h"))
     per = lambda test: F.size(F.filter("h.segments", test))
@@ -581,6 +635,7 @@ def _spans_sql(before: str, after: str, style: str) -> str:
 VIEW_SQL = {
     "unified": UNIFIED_SQL,
     "split": SPLIT_VIEW_SQL,
+    "heatmap": HEAT_VIEW_SQL,
     "words": _spans_sql('<div class="text-diff text-diff-words">', "</div>", ""),
     "playback_words": _spans_sql(
         '<div class="text-diff-playback-wrap"><input class="diff-replay-input" type="checkbox" id="td-replay"><label class="diff-replay" for="td-replay">Replay</label><div class="text-diff text-diff-words text-diff-playback">',
