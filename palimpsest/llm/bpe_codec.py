@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
+from .chunks import tidy
 from .columns import narrow, slices
 
 #: The pre-tokenizer's pattern (fixed value), white space by its Unicode property.
@@ -29,7 +30,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: Characters of a leaf.
 LEAF = 1024
 #: Pieces remembered by a worker between batches; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of the longest piece that is remembered.
 SHORT = 64
 
@@ -108,7 +109,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     def run(batches):
         c = codec(vocab_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 512, 1 << 20):
                 texts = [(b or b"").decode("utf-8", "replace") for b in part.column(1).to_pylist()]
                 coded = c.encode_all(texts)
                 back = [c.decode(x) for x in coded]
@@ -119,6 +120,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([part.column(0), n, pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(back, pa.string())], ["id", "n_tokens", "ids", "decoded"])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([sha256(x).hexdigest() for x in coded], pa.string()), pa.array([sha256(t.encode()).hexdigest() for t in back], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            tidy()
 
     tail = "ids array<int>, decoded string" if with_text else "ids_sha256 string, decoded_sha256 string"
     return narrow(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, n_tokens long, {tail}").select(F.col("id").alias(id_col), "n_tokens", *(["ids", "decoded"] if with_text else ["ids_sha256", "decoded_sha256"]))

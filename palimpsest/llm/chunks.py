@@ -51,7 +51,7 @@ except (OSError, AttributeError):  # another C library: nothing to hand back
     _trim = None
 
 
-def tidy(table: pa.Table) -> pa.Table:
+def tidy(table: pa.Table | None = None) -> pa.Table | None:
     """Hands freed memory back to the system before the worker waits for its next group.
 
     A worker process lives on between stages; what its allocators keep would add up beside

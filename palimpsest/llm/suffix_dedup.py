@@ -312,25 +312,29 @@ def applier(length: int, with_text: bool):
 
 def removed(chunk: C.Chunk, gone: np.ndarray, with_text: bool) -> pa.Table:
     """Rows of ``chunk`` without the bytes marked in ``gone``."""
-    kept, n_spans, n_removed, spans, digests = [], [], [], [], []
+    kept, n_spans, n_removed, spans, digests, whole = [], [], [], [], [], []
     for k, text in enumerate(chunk.texts):
         g = gone[chunk.offsets[k] : chunk.offsets[k + 1]]
         digests.append(sha256(text).hexdigest() if with_text else None)
         if not g.any():
-            kept.append(text), n_spans.append(0), n_removed.append(0), spans.append([])
+            kept.append(text), n_spans.append(0), n_removed.append(0), spans.append([]), whole.append(None)
             continue
         edge = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8)))
         kept.append(np.frombuffer(text, np.uint8)[~g].tobytes())
         n_spans.append(len(edge) // 2), n_removed.append(int(g.sum()))
-        spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)] if with_text else [])
+        ends = [0, *edge.tolist(), len(text)]
+        spans.append([{"start": x, "end": y} for x, y in zip(ends[1:-1:2], ends[2:-1:2])] if with_text else [])
+        # Each run between cuts, without the parts of characters at its ends.
+        whole.append("".join(text[x:y].decode("utf-8", "ignore") for x, y in zip(ends[::2], ends[1::2])) if with_text else None)
     cols = [chunk.id_array(), pa.array(np.diff(chunk.offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())]
     if with_text:
-        return pa.table([*cols, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(digests, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "text_sha256"])
+        more = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(whole, pa.string()), pa.array(digests, pa.string())]
+        return pa.table([*cols, *more], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text", "text_sha256"])
     return pa.table([*cols, pa.array([sha256(x).hexdigest() for x in kept], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans and, ``with_text``, the removed ``spans`` (bytes), ``kept`` (binary) and the whole text's ``text_sha256``; else kept_sha256.
+    """Per row: id, n_bytes, n_removed, n_spans and, ``with_text``, the removed ``spans`` (bytes), ``kept`` (binary), ``kept_text`` (whole characters only; null if nothing is removed) and the text's ``text_sha256``; else kept_sha256.
 
     ``length`` is at least 2 * 20 bytes (the minimisers' k-mers). Kept bytes may end inside a
     character, as strings are judged by bytes.
@@ -340,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     parts, n = C.chunked(docs, id_col, text_col, chunk_bytes)
     common, ranges = C.common_keys(parts, anchors(length), n), C.ranges_for(n)
     answers = C.solve(C.emit_with(parts, common, emitter(length, n), n, ranges), solver(length), ranges, n)
-    tail = "spans array<struct<start:long,end:long>>, kept binary, text_sha256 string" if with_text else "kept_sha256 string"
+    tail = "spans array<struct<start:long,end:long>>, kept binary, kept_text string, text_sha256 string" if with_text else "kept_sha256 string"
     out = C.apply(parts, answers, applier(length, with_text), f"id long, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("id", id_col)
 
@@ -354,22 +358,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     a null id stay as they are. Columns may have any names.
     """
     found = remove_repeats(docs.filter(F.col(id_col).isNotNull()), length, id_col, text_col).filter("n_removed > 0")
-    found = found.mapInArrow(whole_characters, f"key {docs.schema[id_col].dataType.simpleString()}, digest string, body string").dropDuplicates(["key", "digest"])
+    found = found.select(F.col(id_col).alias("key"), F.col("text_sha256").alias("digest"), F.col("kept_text").alias("body")).dropDuplicates(["key", "digest"])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("row_digest"))
     both = rows.join(found, (F.col("row_id") == F.col("key")) & (F.col("row_digest") == F.col("digest")), "left")
     return both.select(*[(F.coalesce("body", F.col("row")[c]) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
-
-
-def whole_characters(batches):
-    """Kept bytes as text: each run between cuts without the parts of characters at its ends."""
-    for batch in batches:
-        column = lambda name: batch.column(batch.schema.get_field_index(name))
-        texts = []
-        for size, spans, body in zip(*(column(x).to_pylist() for x in ("n_bytes", "spans", "kept"))):
-            edges = [0, *(x for s in spans for x in (s["start"], s["end"])), size]
-            at, runs = 0, []
-            for a, b in zip(edges[::2], edges[1::2]):
-                runs.append(body[at : at + b - a].decode("utf-8", "ignore"))
-                at += b - a
-            texts.append("".join(runs))
-        yield pa.RecordBatch.from_arrays([batch.column(0), column("text_sha256"), pa.array(texts, pa.string())], ["key", "digest", "body"])
