@@ -132,10 +132,12 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
     """Per row: id, held_out, score, predicted; ``columns``: a struct ``row`` of all columns in place of the id."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
     first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if columns else F.col(id_col)
-    taken = docs.select(first.alias("first"), F.col(text_col).cast("binary").alias("body"))
+    taken = docs.select(first.alias("first"), *([] if columns else [F.col(text_col).cast("binary").alias("body")]))
 
     def run(batches):
         for batch in batches:
+            if columns:  # the text travels once, in its row
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(text_col).cast(pa.binary())], ["first", "body"])
             for part in slices(batch, 4096, 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(*body_buffers(part.column(1))))], ["first", "score"])
 
