@@ -581,7 +581,8 @@ FROM cores c LEFT JOIN numbered e ON e.id = c.id GROUP BY c.id"""
 def heatmap(spark, d):
     h = P.conversation_revisions(spark, d).select("conv_id", "turn", K.heatmap("old", "new").alias("h"))
     per = lambda test: F.size(F.filter("h.segments", test))
-    levels = [per(lambda s, k=k: (s["type"] == "sentence") & (s["heat"] == k)).alias(f"heat_{k}") for k in range(5)]
+    at = lambda k: lambda s: (s["type"] == "sentence") & (s["heat"] == k)  # noqa: E731  a second parameter would be the element's place
+    levels = [per(at(k)).alias(f"heat_{k}") for k in range(5)]
     return h.select("conv_id", "turn", *levels, per(lambda s: s["type"] == "removed").alias("removed"), F.col("h.exact").alias("exact"))
 
 
