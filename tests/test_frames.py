@@ -3,8 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from palimpsest.functions import columns as N
 from palimpsest.functions import rules as R
@@ -161,3 +164,32 @@ def test_pairs_of_a_hot_group(spark):
         last[g] = t
     assert sorted(map(tuple, P.neighbour_pairs(frame, F.col("g"), "id", "t").collect())) == want
     assert P.neighbour_pairs(frame.limit(0), F.col("g"), "id", "t").count() == 0
+
+
+def test_kernels_hold_the_results_of_few_rows(spark):
+    """A result is a hundred times its page in Python: those of a whole batch took more than an executor has."""
+    alive = []
+
+    class Result(str):
+        def __init__(self, _):
+            alive.append(1)
+
+        def __del__(self):
+            alive.pop()
+
+    pages = spark.range(0, 1500, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("<p>" + "word " * 2000), F.col("id"))).alias("t"))
+    got = pages.select("id", K.kernel(lambda s: Result(len(alive)), "string", "t").alias("n"), K.html_tokens("t").alias("k")).collect()
+    assert len(got) == 1500 and max(int(r.n or 0) for r in got) <= 2 * K.PIECE // 10_000
+    for r in got[::100]:
+        assert r.k == (None if r.id % 7 == 0 else [tuple(t) for t in D.tokens(f"<p>{'word ' * 2000}{r.id}")]), r.id
+
+
+def test_arrays_of_tuples(spark):
+    kind = to_arrow_type(_parse_datatype_string(K.HTML_TOKENS))
+    rows = [None, [], [D.Token("text", "a", "", "t>a", 1), D.Token("open", "<p>", "p", "<p")], None, [D.Token("space", " ", "", " ")], []]
+    assert K.array_of(rows, kind).equals(pa.array([x if x is None else [t._asdict() for t in x] for x in rows], kind))
+    assert K.array_of([None, []], kind).to_pylist() == [None, []]
+    texts = pa.array(["x" * 10, None, "y" * K.PIECE * 3, "", *["z" * 1000] * 600])
+    parts = list(K.pieces(texts.slice(1), texts.slice(1)))
+    assert [k for at, n in parts for k in range(at, at + n)] == list(range(603)) and max(n for _, n in parts) <= K.PIECE // 2000 + 1
+    assert list(K.pieces(texts.slice(0, 0))) == []
