@@ -159,6 +159,31 @@ def test_search_equals_the_literal_one_and_is_shortest(wide, monkeypatch):
             assert sum(n for o, n in got if o) == len(a) + len(b) - 2 * lcs(a, b)
 
 
+@pytest.mark.parametrize("held", [engine.HELD, 1, 200])
+def test_the_table_gives_the_script_of_the_search(held, monkeypatch):
+    monkeypatch.setattr(engine, "HELD", held)
+    r = random.Random(held)
+    for _ in range(1500):
+        size = r.choice([1, 2, 5, 30])
+        a, b = ([r.randrange(size) for _ in range(r.randint(1, 40))] for _ in range(2))
+        limit = r.choice([99, 99, 3, 20])
+        a, b = (a, b) if a[0] != b[0] else ([size, *a], [size + 1, *b])
+        assert engine.bits(a, b, limit) == literal(a, b, limit), (a, b, limit)
+
+
+def test_many_edits_do_not_take_the_search_by_diagonals(monkeypatch):
+    """The square of 2,000 edits took a second a pair."""
+    limits, search = [], engine.search
+    monkeypatch.setattr(engine, "search", lambda a, b, limit: limits.append(limit) or search(a, b, limit))
+    r = random.Random(5)
+    a, b = ([r.randrange(300) for _ in range(1500)] for _ in range(2))
+    ops = engine.script(*engine.intern(a, b))
+    assert max(limits, default=0) < 150
+    assert sum(n for o, n in ops if o) == len(a) + len(b) - 2 * lcs(a, b)
+    few = a[:700] + [300] + a[720:]
+    assert engine.script(*engine.intern(a, few)) == [(0, 700), (-1, 20), (1, 1), (0, 780)] and engine.script(*engine.intern(a, b), 150) is None
+
+
 def test_hand_examples():
     show = lambda mode, a, b: [c.kind + c.value for c in C.changes(mode, a, b)]
     assert show("chars", "ab", "ba") == ["-a", "=b", "+a"]
