@@ -184,6 +184,20 @@ def test_many_edits_do_not_take_the_search_by_diagonals(monkeypatch):
     assert engine.script(*engine.intern(a, few)) == [(0, 700), (-1, 20), (1, 1), (0, 780)] and engine.script(*engine.intern(a, b), 150) is None
 
 
+def test_similarity_needs_no_change_list(monkeypatch):
+    """It follows from the edit script: the change list's white space, which took most of the time, never counts."""
+    r = random.Random(6)
+    parts = ["a", "b", "cat", " ", "  ", "\n", "\x1c", "\x85", "\ufeff", "\u201c", "\u2019", '"', ".", "\u00e9", "\u00ad", "<b>", "</p>", "<", "\ud800"]
+    pairs = [tuple("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2)) for _ in range(1500)]
+    want = []
+    for old, new in pairs:
+        for html in (True, False):
+            a, b = R.prepare(R.scrub(old), html), R.prepare(R.scrub(new), html)
+            want.append(C.similarity_of(C.changes("words", a, b), a, b) if a and b else float(not a and not b))
+    monkeypatch.setattr(C, "changes", None)
+    assert [C.similarity(old, new, html) for old, new in pairs for html in (True, False)] == want
+
+
 def test_hand_examples():
     show = lambda mode, a, b: [c.kind + c.value for c in C.changes(mode, a, b)]
     assert show("chars", "ab", "ba") == ["-a", "=b", "+a"]
