@@ -80,3 +80,19 @@ def test_generated_documents():
         html = diff(a, b)
         plain = lambda x: re.sub(r"\s+", "", "".join(D.decode_text(s.raw) for s in D.segments(x) if s.kind == "text").replace("“", '"').replace("”", '"'))
         assert outside(html, "removed") == plain(b) and outside(html, "added") == plain(a)
+
+
+def test_joined_changes_are_not_copied_over_and_over(monkeypatch):
+    """Texts with little in common are a long row of changes and orphans, which were copied for each that joined."""
+    handled, joined = [], D.joined
+    monkeypatch.setattr(D, "joined", lambda *parts: handled.append(sum(len(p.old) + len(p.new) for p in parts)) or joined(*parts))
+    a = "<p>" + " ".join(f"left{k} x" for k in range(400)) + "</p>"
+    b = "<p>" + " ".join(f"right{k} x" for k in range(400)) + "</p>"
+    got = diff(a, b)
+    assert sum(handled) < 10_000 and got.count("data-change-index") == 2
+    assert re.sub("<[^>]*>", "", re.sub('<span class="diff-removed".*?</span>', "", got)) == re.sub("<[^>]*>", "", b)
+    # What a joined change is made of stays as it was for the next one's neighbours.
+    run = [D.Item(same, list(old), list(new)) for same, old, new in ((False, D.tokens("aaaa"), []), (True, D.tokens("b"), D.tokens("b")), (False, D.tokens("cccc"), []), (True, D.tokens("ddd"), D.tokens("ddd")), (False, [], D.tokens("eeee")))]
+    before = [(len(x.old), len(x.new)) for x in run]
+    D.group_orphans(run, 0.3)
+    assert [(len(x.old), len(x.new)) for x in run] == before
