@@ -4,6 +4,8 @@ import random
 import re
 
 from palimpsest.functions.options import Options
+from palimpsest.operators import changes as C
+from palimpsest.operators import engine
 from palimpsest.operators import html as D
 
 
@@ -96,3 +98,21 @@ def test_joined_changes_are_not_copied_over_and_over(monkeypatch):
     before = [(len(x.old), len(x.new)) for x in run]
     D.group_orphans(run, 0.3)
     assert [(len(x.old), len(x.new)) for x in run] == before
+
+
+def test_similarity_of_unlike_pages_takes_no_long_search(monkeypatch):
+    limits, search = [], engine.search
+    monkeypatch.setattr(engine, "search", lambda a, b, limit: limits.append(limit) or search(a, b, limit))
+    r = random.Random(4)
+    pages = ["<body>" + "".join(f"<p>{' '.join(r.choice('la le de eau en un') + str(r.randrange(40)) for _ in range(60))}</p>" for _ in range(10)) for _ in range(3)]
+    for old in pages:
+        for new in pages:
+            a, b = C.R.solids(old), C.R.solids(new)
+            best = [0] * (len(b) + 1)  # the heaviest common subsequence
+            for x in a:
+                row = best[:]
+                for j, y in enumerate(b):
+                    best[j + 1] = max(row[j + 1], best[j], row[j] + (x == y) * len(x))
+            got = C.similarity(old, new)
+            assert (got == 1) == (old == new) and got <= 2 * best[-1] / (sum(map(len, a)) + sum(map(len, b)))
+    assert max(limits, default=0) < 100
