@@ -198,6 +198,18 @@ def test_similarity_needs_no_change_list(monkeypatch):
     assert [C.similarity(old, new, html) for old, new in pairs for html in (True, False)] == want
 
 
+def test_unlike_texts_are_rebuilt_without_a_long_search(monkeypatch):
+    limits, search = [], engine.search
+    monkeypatch.setattr(engine, "search", lambda a, b, limit: limits.append(limit) or search(a, b, limit))
+    r = random.Random(10)
+    texts = [" ".join(r.choice(("la", "le ", "de\r\n", "eau.", "un\t")) + str(r.randrange(60)) for _ in range(500)) for _ in range(4)]
+    for old in texts:
+        for new in texts:
+            c = C.changes("wordsWithSpace", old, new)
+            assert "".join(x.value for x in c if x.kind != "-") == new and "".join(x.value for x in c if x.kind != "+") == old
+    assert max(limits, default=0) < 150
+
+
 def test_hand_examples():
     show = lambda mode, a, b: [c.kind + c.value for c in C.changes(mode, a, b)]
     assert show("chars", "ab", "ba") == ["-a", "=b", "+a"]
