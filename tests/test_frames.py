@@ -193,3 +193,16 @@ def test_arrays_of_tuples(spark):
     parts = list(K.pieces(texts.slice(1), texts.slice(1)))
     assert [k for at, n in parts for k in range(at, at + n)] == list(range(603)) and max(n for _, n in parts) <= K.PIECE // 2000 + 1
     assert list(K.pieces(texts.slice(0, 0))) == []
+
+
+def test_arrays_of_changes(spark):
+    kind = to_arrow_type(_parse_datatype_string(K.CHANGES))
+    pairs = [None, ("", ""), ("a b", "a c d"), ("é\n", "é\n"), None, ("", "x"), ("y 😀", "")]
+    want = [p and [c.record() for c in C.changes("wordsWithSpace", *p)] for p in pairs]
+    assert K.changes_of([p and C.columns("wordsWithSpace", *p) for p in pairs], kind).equals(pa.array(want, kind))
+    assert K.changes_of([], kind).to_pylist() == [] and K.changes_of([None], kind).to_pylist() == [None]
+    t = spark.createDataFrame([(k, *(p or ("z", None))) for k, p in enumerate(pairs)], "k int, a string, b string")
+    for mode in R.MODES:
+        got = t.select("k", K.changes(mode, "a", "b").alias("c"), F.md5(N.rebuilt(K.changes(mode, "a", "b"), "new")).alias("v")).orderBy("k").collect()
+        assert [r.c and [x.asDict() for x in r.c] for r in got] == [p and [c.record() for c in C.changes(mode, *p)] for p in pairs]
+        assert [r.v is None for r in got] == [p is None for p in pairs]

@@ -210,6 +210,32 @@ def test_unlike_texts_are_rebuilt_without_a_long_search(monkeypatch):
     assert max(limits, default=0) < 150
 
 
+def test_equal_texts_need_no_numbers_and_runs_no_objects(monkeypatch):
+    """At 1 GB many pairs are copies, and unlike texts have a change every few tokens."""
+    r = random.Random(20)
+    texts = ["", " ", *(" ".join(r.choice(("la", "le ", "de\r\n", "eau!", "un\t")) + str(r.randrange(30)) for _ in range(60)) for _ in range(3))]
+    want = {(m, a, b, limit): C.changes(m, a, b, Options.of(maxEditLength=limit)) for m in R.MODES for a in texts for b in texts for limit in (None, 20)}
+    monkeypatch.setattr(engine, "intern", lambda a, b, f=engine.intern: f(a, b) if a != b else pytest.fail("equal texts are numbered"))
+    monkeypatch.setattr(C, "Change", lambda *c, f=C.Change: f(*c) if m == "words" else pytest.fail("an object a change"))
+    for (m, a, b, limit), found in want.items():
+        values, ops, counts = C.columns(m, a, b, Options.of(maxEditLength=limit))
+        assert [(v, "=+-"[o], n) for v, o, n in zip(values, ops, counts)] == [tuple(c) for c in found], (m, a, b, limit)
+
+
+@pytest.mark.parametrize("held", [engine.HELD, 3000])
+def test_the_table_of_long_texts_with_tokens_of_one_side(held, monkeypatch):
+    monkeypatch.setattr(engine, "HELD", held)
+    r = random.Random(held)
+    for _ in range(150):
+        size, other = r.choice([3, 30, 300]), r.choice([0, 20, 200])
+        a, b = ([0 if r.random() < 0.3 else r.randrange(size) + start for _ in range(r.randint(60, 250))] for start in (0, other))
+        a, b = engine.intern([-1, *a], [-2, *b])
+        got = engine.bits(a, b, len(a) + len(b))
+        assert got == engine.retrace(a, b, engine.search(a, b, len(a) + len(b))), (a, b)
+        edits = sum(n for o, n in got if o)
+        assert engine.bits(a, b, edits) == got and engine.bits(a, b, edits - 1) is None
+
+
 def test_hand_examples():
     show = lambda mode, a, b: [c.kind + c.value for c in C.changes(mode, a, b)]
     assert show("chars", "ab", "ba") == ["-a", "=b", "+a"]
